@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as A
-from .tables import column_of, discard, extended, staged
+from .tables import column_of, discard, extended, id_side, staged
 
 ORDER = 5
 BITS = 12
@@ -278,7 +278,7 @@ def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.select(column_of(labels, "doc_id", "bigint").alias("good__"), column_of(labels, "quality", "int").alias("q__"))
     good = good.where("q__ = 1").select("good__").distinct()
     text = docs.select(column_of(docs, "doc_id", "bigint"), column_of(docs, "text", "string"), column_of(docs, "lang", "string"))
-    return text.join(good, F.col("doc_id") == F.col("good__"), "left_semi")
+    return text.join(id_side(good), F.col("doc_id") == F.col("good__"), "left_semi")
 
 
 def keep(docs: DataFrame, labels: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:

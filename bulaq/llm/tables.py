@@ -41,6 +41,19 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of one id that are sent to every executor at most, about 20 bytes each; more are joined by shuffling.
+BROADCAST_IDS = 8_000_000
+
+
+def id_side(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` (one narrow column), staged, and to be broadcast if it was counted to have at most ``most`` rows.
+
+    So a join with a table of texts shuffles the texts only where the ids are too many to send.
+    """
+    ids = staged(ids)
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def column_of(df: DataFrame, name: str, kind: str):
     """Column ``name`` cast to ``kind``; nulls of that type where the table lacks it."""
     return df[name].cast(kind).alias(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
