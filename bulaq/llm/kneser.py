@@ -71,19 +71,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "c"])
 
 
-def _discounts(df: DataFrame) -> list[float]:
-    n = df.groupBy(F.least("c", F.lit(5)).alias("c")).count().collect()
-    n = {r["c"]: r["count"] for r in n}
-    n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
-    if not n1 or not n2:
-        return [0.5, 0.75, 1.0]
-    y = n1 / (n1 + 2 * n2)
-    raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.0]
-    return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
+def _discounts(counts: dict[int, DataFrame]) -> dict[int, list[float]]:
+    """The three discounts of each order, from its numbers of n-grams that were counted once to four times."""
+    each = [t.where("c <= 4").groupBy(F.lit(n).alias("n"), "c").count() for n, t in counts.items()]
+    every = each[0]
+    for t in each[1:]:
+        every = every.union(t)
+    seen = {(r["n"], r["c"]): r["count"] for r in every.collect()}
+    out = {}
+    for n in counts:
+        n1, n2, n3, n4 = (seen.get((n, i), 0) for i in (1, 2, 3, 4))
+        if not n1 or not n2:
+            out[n] = [0.5, 0.75, 1.0]
+            continue
+        y = n1 / (n1 + 2 * n2)
+        raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.0]
+        out[n] = [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
+    return out
 
 
 class Model:
-    """``probability[n]`` (key, lp) and ``backoff[n]`` (key of the context, lg): logarithms of order n; staged tables."""
+    """``probability[n]`` (key, lp) and ``backoff[n]`` (key of the context, lg, ...): logarithms of order n; staged tables."""
 
     def __init__(self, probability: dict[int, DataFrame], backoff: dict[int, DataFrame], unseen: float, entries: int):
         self.probability, self.backoff, self.unseen, self.entries = probability, backoff, unseen, entries
@@ -102,29 +110,32 @@ def train(trusted: DataFrame) -> Model:
         counts[n] = staged(counts[n + 1].groupBy(low.alias("key")).agg(F.count("*").alias("c")))
     vocabulary = counts[1].count() + 1
     unseen = float(np.log(1 / vocabulary))
+    discounts = _discounts(counts)
     prob: dict[int, DataFrame] = {}
     back: dict[int, DataFrame] = {}
     lower = None
     for n in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(counts[n])
+        d1, d2, d3 = discounts[n]
         c = counts[n].withColumn("ctx", F.shiftright("key", BITS) if n > 1 else F.lit(0).cast("bigint"))
         off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         ctx = c.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(off).alias("mass")).withColumn("gamma", F.col("mass") / F.col("total"))
-        ctx = staged(ctx.select("ctx", "total", "gamma"))
-        p = c.join(ctx, "ctx").withColumn("own", (F.col("c") - off) / F.col("total"))
+        ctx = staged(ctx.select(F.col("ctx").alias("key"), "total", "gamma", F.log("gamma").alias("lg")))
+        p = c.join(ctx.select(F.col("key").alias("ctx"), "total", "gamma"), "ctx").withColumn("own", (F.col("c") - off) / F.col("total"))
         if lower is None:
             p = p.select("key", F.log(F.col("own") + F.col("gamma") / vocabulary).alias("lp"))
         else:
             p = p.withColumn("low", F.col("key").bitwiseAND(F.lit((1 << BITS * (n - 1)) - 1))).join(lower.select(F.col("key").alias("low"), F.col("lp").alias("llp")), "low")
             p = p.select("key", F.log(F.col("own") + F.col("gamma") * F.exp("llp")).alias("lp"))
         prob[n] = lower = staged(p)
-        back[n] = staged(ctx.select(F.col("ctx").alias("key"), F.log("gamma").alias("lg")))
-        discard(ctx)
-    if back[1].count():  # an unseen character has the uniform share of the unigram's discounts
+        back[n] = ctx
+    if vocabulary > 1:  # an unseen character has the uniform share of the unigram's discounts
         unseen += back[1].first()["lg"]
     for t in counts.values():
         discard(t)
-    entries = sum(t.count() for t in (*prob.values(), *back.values()))
+    sizes = None
+    for t in (*prob.values(), *back.values()):
+        sizes = t.select("key") if sizes is None else sizes.union(t.select("key"))
+    entries = sizes.count()
     return Model(prob, back, unseen, entries)
 
 
@@ -133,7 +144,7 @@ class Lookup:
 
     def __init__(self, model: Model):
         def load(df: DataFrame, value: str):
-            got = df.toPandas()
+            got = df.select("key", value).toPandas()
             return A.HashIndex(got["key"].to_numpy(np.int64).view(A.U64)), got[value].to_numpy(np.float32)
 
         self.p = {n: load(model.probability[n], "lp") for n in range(1, ORDER + 1)}
