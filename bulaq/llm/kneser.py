@@ -144,8 +144,8 @@ class Lookup:
 
     def __init__(self, model: Model):
         def load(df: DataFrame, value: str):
-            got = df.select("key", value).toPandas()
-            return A.HashIndex(got["key"].to_numpy(np.int64).view(A.U64)), got[value].to_numpy(np.float32)
+            got = df.select("key", F.col(value).cast("float")).toArrow()
+            return A.HashIndex(got.column(0).to_numpy().view(A.U64)), got.column(1).to_numpy()
 
         self.p = {n: load(model.probability[n], "lp") for n in range(1, ORDER + 1)}
         self.b = {n: load(model.backoff[n], "lg") for n in range(2, ORDER + 1)}

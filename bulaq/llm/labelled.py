@@ -47,11 +47,12 @@ def sample(
                     names=["doc_id", "y", "x"],
                 )
 
-    got = both.mapInArrow(run, "doc_id bigint, y int, x array<double>").toPandas().sort_values(["doc_id"], kind="stable")
+    got = both.mapInArrow(run, "doc_id bigint, y int, x array<double>").toArrow()
     width = features(np.zeros(0, np.uint32), np.zeros(1, np.int64)).shape[1]
-    x = np.array(got["x"].tolist(), float).reshape(len(got), width)
-    order = np.lexsort((*x.T, got["doc_id"].to_numpy())) if len(got) else np.zeros(0, int)
-    return x[order], got["y"].to_numpy(float)[order], got["doc_id"].to_numpy()[order]
+    ids, y = got.column("doc_id").to_numpy(), got.column("y").to_numpy().astype(float)
+    x = np.concatenate([c.flatten().to_numpy() for c in got.column("x").chunks] or [np.zeros(0)]).reshape(len(ids), width)
+    order = np.lexsort((*x.T, ids))
+    return x[order], y[order], ids[order]
 
 
 def scored(docs: DataFrame, features: Features, score: Callable[[np.ndarray], np.ndarray], name: str) -> tuple[DataFrame, str]:

@@ -139,7 +139,7 @@ def disclosing(
         found = text.sparkSession.createDataFrame([], "term bigint, gone boolean")
         return staged(found)
     if many <= broadcast_terms:
-        counted = text.mapInArrow(_counts(np.sort(terms.toPandas()["term"].to_numpy(np.int64).view(A.U64))), "term bigint, n bigint")
+        counted = text.mapInArrow(_counts(np.sort(terms.toArrow().column("term").to_numpy().view(A.U64))), "term bigint, n bigint")
     else:
         counted = text.mapInArrow(_counts(None), "term bigint, n bigint")
         counted = counted.join(terms.union(terms.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("term"))), "term", "left_semi")
@@ -173,8 +173,8 @@ def sanitize(docs: DataFrame, **options) -> tuple[DataFrame, dict[str, str]]:
     at = docs.columns.index("text")
     out = docs.withColumn(names["n_entities"], F.lit(0).cast("bigint")).withColumn(names["n_terms"], F.lit(0).cast("bigint"))
     for part in range(passes):
-        own = found.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == part).toPandas().sort_values("term")
-        keys, gone = own["term"].to_numpy(np.int64).view(A.U64), own["gone"].to_numpy(bool)
+        own = found.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == part).orderBy("term").toArrow()
+        keys, gone = own.column("term").to_numpy().astype(np.int64).view(A.U64), own.column("gone").to_numpy().astype(bool)
         shared = docs.sparkSession.sparkContext.broadcast((A.HashIndex(keys), gone))
         out = out.mapInArrow(_rewrite(shared, at, schema.fieldNames()), schema)
     return out, names

@@ -101,8 +101,8 @@ def _mined(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[np.ndarray, n
     part = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (share * n))).otherwise(0.0)
     odds = (F.col("a") + 0.5) / (na + 1) / ((F.col("b") + 0.5) / (nb + 1))
     got = counts.where("a >= 3").withColumn("odds", odds).where((F.col("odds") >= LEAST_ODDS) & (2 * (part("a", na) + part("b", nb)) >= LEAST_G))
-    got = got.select("key", F.log("odds").alias("w")).orderBy("key").toPandas()
-    return got["key"].to_numpy(np.int64).view(A.U64), got["w"].to_numpy(float)
+    got = got.select("key", F.log("odds").alias("w")).orderBy("key").toArrow()
+    return got.column("key").to_numpy().astype(np.int64).view(A.U64), got.column("w").to_numpy().astype(float)
 
 
 def features(codes: np.ndarray, offsets: np.ndarray, mined: tuple | None = None) -> np.ndarray:
