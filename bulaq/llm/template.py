@@ -1,7 +1,7 @@
 """HTML extraction by deduced templates: tokens with equal occurrence vectors across the pages of a host.
 
 A token is a tag, or a word of text, together with the path of tags above it. Its occurrence vector (how often it
-is on each page of the host) is summed up as support, total and a 64-bit sum of page hashes, so that vectors are
+is on each page of the host) is summed up as support, total and sums of page hashes, so that vectors are
 built by one grouping over all pages. Tokens of one host with the same vector form an equivalence class; a class
 of two or more tokens is part of the template. Tags need to be on ``MIN_SHARE`` of the host's pages, words on all
 pages of a host with at least ``MIN_WORD_PAGES``; then every task can drop a word that one of its own pages lacks
@@ -39,7 +39,8 @@ _TAG = re.compile(r"<(/?[a-zA-Z][^\s/>]*|![^>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*
 _KEPT = re.compile(r"""\b(class|id|itemprop|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"p": "p", "li": "li", "tr": "tr", "td": "td", "th": "td", "option": "option", "dt": "dt", "dd": "dt"}
-_M = (1 << 64) - 1
+#: A page's weight is two numbers of so many bits, whose sums over 2**35 occurrences fit 64 bits.
+_HALF = 28
 
 
 def host_column(url: str) -> F.Column:
@@ -81,13 +82,9 @@ def _key(token: str, path: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{path}\0{token}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _weight(url: str | None, page: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{url}\0{page}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-def _signed(x: int) -> int:
-    x &= _M
-    return x - (1 << 64) if x >> 63 else x
+def _weight(url: str | None, page: str) -> tuple[int, int]:
+    w = int.from_bytes(hashlib.blake2b(f"{url}\0{page}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return w & ((1 << _HALF) - 1), w >> (64 - _HALF)
 
 
 class _Host:
@@ -99,7 +96,7 @@ class _Host:
         self.words: dict[tuple[str, str], list] | None = None
 
     def add(self, url: str | None, page: str) -> None:
-        w = _weight(url, page)
+        w0, w1 = _weight(url, page)
         seen: dict[tuple[str, str], list] = {}
         text: dict[str, list[str]] = {}
         n = 0
@@ -116,15 +113,16 @@ class _Host:
             else:
                 text[path] = [words]
         for k, (count, first) in seen.items():
-            v = self.tags.setdefault(k, [0, 0, 0, 0.0])
+            v = self.tags.setdefault(k, [0, 0, 0, 0, 0.0])
             v[0] += 1
             v[1] += count
-            v[2] += w * count
-            v[3] += first / max(n, 1)
+            v[2] += w0 * count
+            v[3] += w1 * count
+            v[4] += first / max(n, 1)
         if self.words is None or self.words:
             counts = {path: Counter(" ".join(parts).split()) for path, parts in text.items()}
             if self.words is None:
-                self.words = {(word, path): [0, 0, 0, 0.0] for path, c in counts.items() for word in c}
+                self.words = {(word, path): [0, 0, 0, 0, 0.0] for path, c in counts.items() for word in c}
             gone = []
             for k, v in self.words.items():
                 count = counts.get(k[1], {}).get(k[0], 0)
@@ -133,13 +131,14 @@ class _Host:
                     continue
                 v[0] += 1
                 v[1] += count
-                v[2] += w * count
+                v[2] += w0 * count
+                v[3] += w1 * count
             for k in gone:
                 del self.words[k]
         self.pages += 1
 
 
-_VECTOR = "host string, key bigint, word boolean, support bigint, total bigint, print bigint, position double"
+_VECTOR = "host string, key bigint, word boolean, support bigint, total bigint, print bigint, print2 bigint, position double"
 
 
 def vectors(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -151,16 +150,16 @@ def vectors(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
         held = 0
 
         def out() -> pa.RecordBatch:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for host, of in hosts.items():
-                rows = [(0, False, of.pages, of.pages, 0, 0.0)]
-                rows += [(_key(*k), False, v[0], v[1], _signed(v[2]), v[3]) for k, v in of.tags.items()]
-                rows += [(_key(*k), True, v[0], v[1], _signed(v[2]), v[3]) for k, v in (of.words or {}).items()]
+                rows = [(0, False, of.pages, of.pages, 0, 0, 0.0)]
+                rows += [(_key(*k), False, *v) for k, v in of.tags.items()]
+                rows += [(_key(*k), True, *v) for k, v in (of.words or {}).items()]
                 for row in rows:
                     for c, x in zip(cols, (host, *row)):
                         c.append(x)
-            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "key", "word", "support", "total", "print", "position"])
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "key", "word", "support", "total", "print", "print2", "position"])
 
         for batch in batches:
             for host, u, page in zip(*(c.to_pylist() for c in batch.columns)):
@@ -178,15 +177,15 @@ def vectors(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, keys, classes, places): one row per host with a template; class 0 is the root, ``places`` its order."""
     v = vectors(pages, url, html).groupBy("host", "key", "word").agg(
-        F.sum("support").alias("support"), F.sum("total").alias("total"), F.sum("print").alias("print"), F.sum("position").alias("position")
+        F.sum("support").alias("support"), F.sum("total").alias("total"), F.sum("print").alias("print"), F.sum("print2").alias("print2"), F.sum("position").alias("position")
     )
     by_host = "partition by host"
     v = v.withColumn("pages", F.expr(f"max(case when key = 0 and not word then support end) over ({by_host})"))
     v = v.where("not (key = 0 and not word) and pages > 1")
     v = v.where(F.when(F.col("word"), (F.col("support") == F.col("pages")) & (F.col("pages") >= MIN_WORD_PAGES)).otherwise((F.col("support") >= MIN_SHARE * F.col("pages")) & (F.col("support") > 1)))
-    v = v.withColumn("size", F.expr("count(*) over (partition by host, support, total, print)")).where("size > 1")
+    v = v.withColumn("size", F.expr("count(*) over (partition by host, support, total, print, print2)")).where("size > 1")
     v = v.withColumn("root", F.expr("support = pages and total = pages"))
-    v = v.withColumn("cls", F.when(F.col("root"), F.lit(0)).otherwise(F.expr(f"dense_rank() over ({by_host} order by root desc, support desc, total, print)")).cast("int"))
+    v = v.withColumn("cls", F.when(F.col("root"), F.lit(0)).otherwise(F.expr(f"dense_rank() over ({by_host} order by root desc, support desc, total, print, print2)")).cast("int"))
     return v.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("key", "cls", (F.col("position") / F.col("support")).alias("at")))).alias("t")).select("host", F.col("t.key").alias("keys"), F.col("t.cls").alias("classes"), F.col("t.at").alias("places"))
 
 
