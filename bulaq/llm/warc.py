@@ -28,6 +28,8 @@ from .tables import column_of, shared_dir, staged
 GAP = 65_536
 #: Bytes that one coalesced read has at most, unless a single record has more.
 READ_BYTES = 8_000_000
+#: Bytes of selected records for one task; the index rows are too small for their number to tell.
+TASK_BYTES = 16_000_000
 INDEX = "file string, offset bigint, length bigint, page_id bigint, url string, digest string"
 
 
@@ -132,7 +134,9 @@ def ranges(rows: list[tuple[int, int]], gap: int = GAP, most: int = READ_BYTES)
 
 def read(selected: DataFrame) -> DataFrame:
     """(page_id, url, digest, html) of the selected rows of an index."""
-    rows = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    rows = selected.select("file", "offset", "length")
+    tasks = int((rows.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES) + 1
+    rows = rows.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +175,7 @@ def first_of_each(found: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """``pages`` written, indexed, reduced to one record per digest and read back."""
-    return read(first_of_each(index(write(pages))))
+    return read(staged(first_of_each(index(write(pages)))))
 
 
 SQL = """
