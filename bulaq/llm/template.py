@@ -29,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import extended
+from .tables import extended, staged
 
 MIN_SHARE = 0.3
 MIN_WORD_PAGES = 8
 PATH_DEPTH = 6
+#: Tokens of all templates that are sent to every executor at most, about 20 bytes each; more are joined by host,
+#: where adaptive execution splits the pages of a large host, whose template is one row.
+BROADCAST_TOKENS = 5_000_000
 _DROP = re.compile(r"<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(r"<(/?[a-zA-Z][^\s/>]*|![^>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _KEPT = re.compile(r"""\b(class|id|itemprop|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
@@ -250,7 +253,9 @@ class Template:
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[DataFrame, dict[str, str]]:
     """``pages`` without the HTML, with ``host``, ``title``, ``slots`` (gap, text) and ``text``; the names of those columns."""
-    found = templates(pages, url, html)
+    found = staged(templates(pages, url, html))
+    if (found.agg(F.sum(F.size("keys"))).first()[0] or 0) <= BROADCAST_TOKENS:
+        found = F.broadcast(found)
     schema, names = extended(pages.drop(html), {"host": T.StringType(), "title": T.StringType(), "slots": T.ArrayType(T.StructType([T.StructField("gap", T.IntegerType()), T.StructField("text", T.StringType())])), "text": T.StringType()})
     carried = pages.drop(html).columns
     left = pages.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(html).cast("string").alias("html"), host_column(url).alias("host"))
