@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +16,9 @@ from ..functions import vectors as V
 
 #: Queries of a batch that are sent to all executors at most; more are joined without a broadcast.
 BROADCAST_QUERIES = 100_000
+#: Vectors and queries of one matrix product.
+RUN = 2_000
+DIGITS = 12
 
 
 def where(store: DataFrame, equal: dict | None) -> DataFrame:
@@ -23,15 +30,51 @@ def where(store: DataFrame, equal: dict | None) -> DataFrame:
     return store.where(reduce(Column.__and__, [at(k).eqNullSafe(F.lit(v)) for k, v in equal.items()]))
 
 
-def top_k(store: DataFrame, queries: DataFrame, k: int = 5, equal: dict | None = None, key: str = "chunk_id", vector: str = "vector", query_rows: int | None = None) -> DataFrame:
+def _partial(ids: list, matrix: np.ndarray, k: int):
+    """Rows (q, key, score) that may be among the k best of each query, for each run of vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(np.arange(len(ids)), pa.int64())
+        for batch in batches:
+            lists = batch.column(1)
+            if lists.null_count:
+                batch = batch.filter(lists.is_valid())
+                lists = batch.column(1)
+            if not len(lists) or not len(ids):
+                continue
+            if set(pc.list_value_length(lists).to_pylist()) - {matrix.shape[1]}:
+                raise ValueError("vectors of different sizes")
+            vectors = lists.flatten().to_numpy().reshape(len(lists), matrix.shape[1])
+            for lo in range(0, len(vectors), RUN):
+                part = vectors[lo : lo + RUN]
+                for first in range(0, len(matrix), RUN):
+                    score = np.round(matrix[first : first + RUN] @ part.T, DIGITS)
+                    least = np.partition(score, -k, axis=1)[:, -k] if k < score.shape[1] else np.full(len(score), -np.inf)
+                    q, at = np.nonzero(score >= least[:, None])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(first + q)), batch.column(0).take(pa.array(lo + at)), pa.array(score[q, at])], names=["q", "key", "score"])
+
+    return run
+
+
+def top_k(store: DataFrame, queries: DataFrame, k: int = 5, equal: dict | None = None, key: str = "chunk_id", vector: str = "vector", broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
     """(query_id, key, score, rank): ties by key. Only key and vector of the store are read.
 
-    ``queries`` has query_id and query_vector. They are broadcast when there are at most BROADCAST_QUERIES of them.
+    ``queries`` has query_id and query_vector. Up to ``broadcast_queries`` of them go to every task as one matrix; a
+    task hands on the rows that may be among a query's k best. More of them are joined without a broadcast. Scores
+    are rounded to DIGITS, so that equal vectors tie whatever the order of summation.
     """
-    side = queries.select("query_id", "query_vector")
-    n = side.count() if query_rows is None else query_rows
-    pairs = where(store, equal).select(key, vector).crossJoin(F.broadcast(side) if n <= BROADCAST_QUERIES else side)
-    scored = pairs.select("query_id", key, V.dot(F.col(vector), F.col("query_vector")).alias("score"))
+    side = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    held = side.limit(broadcast_queries + 1).toArrow()
+    rows = where(store, equal).select(key, F.col(vector).cast("array<double>").alias("v"))
+    if held.num_rows <= broadcast_queries:
+        ids = held.column(0).to_pylist()
+        matrix = np.array(held.column(1).to_pylist(), float).reshape(len(ids), -1)
+        kind = store.schema[key].dataType.simpleString()
+        found = rows.mapInArrow(_partial(ids, matrix, k), f"q bigint, key {kind}, score double")
+        best = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= k)
+        names = store.sparkSession.createDataFrame(pa.table({"q": np.arange(len(ids)), "query_id": held.column(0)}))
+        return best.join(F.broadcast(names), "q").select("query_id", F.col("key").alias(key), "score", "rank")
+    scored = rows.crossJoin(side).select("query_id", key, F.round(V.dot(F.col("v"), F.col("query_vector")), DIGITS).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -39,5 +82,5 @@ def top_k(store: DataFrame, queries: DataFrame, k: int = 5, equal: dict | None =
 def nearest(store: DataFrame, query: list[float], k: int = 5, equal: dict | None = None, key: str = "chunk_id", vector: str = "vector") -> DataFrame:
     """(key, score, rank) for one vector: no join and no shuffle but the final k rows of each task."""
     literal = F.array(*[F.lit(float(x)) for x in query])
-    best = where(store, equal).select(key, V.dot(F.col(vector), literal).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    best = where(store, equal).select(key, F.round(V.dot(F.col(vector), literal), DIGITS).alias("score")).orderBy(F.desc("score"), key).limit(k)
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key)))
