@@ -72,11 +72,11 @@ def documents_of(records: DataFrame, default_domain: str = "general", field_map:
 
 def _texts(spark: SparkSession, path: str, domain: str) -> DataFrame:
     folder = os.path.isdir(path)
-    r = spark.read.option("wholetext", True)
+    r = spark.read
     r = r.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt") if folder else r
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     null = F.lit(None).cast("string")
-    return r.text(path).select(F.regexp_replace(name, r"(?i)\.txt$", "").alias("doc_id"), F.col("value").alias("text"), F.lit(domain).alias("domain"), null.alias("title"), null.alias("date"), F.create_map().cast("map<string,string>").alias("extra"))
+    return r.text(path, wholetext=True).select(F.regexp_replace(name, r"(?i)\.txt$", "").alias("doc_id"), F.col("value").alias("text"), F.lit(domain).alias("domain"), null.alias("title"), null.alias("date"), F.create_map().cast("map<string,string>").alias("extra"))
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
