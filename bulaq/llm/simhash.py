@@ -95,7 +95,7 @@ def variant_keys(lo: np.ndarray, hi: np.ndarray, k: int = MAX_DISTANCE) -> np.nd
                 bits = (word >> A.U64(a - base)) & A.U64((1 << (b - a)) - 1 if b - a < 64 else 0xFFFFFFFFFFFFFFFF)
                 part |= bits << A.U64(a - first)
         for w in range(width):
-            rest = part & A.U64(((1 << width) - 1) & ~(1 << w)) if width < 64 else part
+            rest = part & A.U64(((1 << width) - 1) & ~(1 << w))
             keyed = A.mix(rest + A.U64(n + 1) * A.U64(0x9E3779B97F4A7C15)) if width > 40 else rest | A.U64(n << 48)
             out[:, n] = keyed.view(np.int64)
             n += 1
