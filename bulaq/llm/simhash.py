@@ -3,10 +3,15 @@
 Each text gets a 128-bit SimHash of its distinct folded words, weighted by their count to the power 0.75. Two
 signatures that differ in at most ``k`` bits, cut into ``m = k // 2 + 1`` segments, agree in one segment up to at
 most one bit. So each segment is indexed by all of its one-wildcard variants (the segment without one bit); an
-equality join on (segment, place of the wildcard, other bits) meets every such pair, and pairs are verified on the
-whole signature. Equal signatures are joined first, so that thousands of exact copies are one entry of the index.
-Within a bucket, verification grows each component against its unvisited members only: connectivity is exact, no
-bucket is capped, and a tight group of n members costs about n comparisons and gives n - 1 edges.
+equality join on (segment, place of the wildcard, other bits) meets every such pair. Equal signatures are joined
+first, so that thousands of exact copies are one entry of the index. Within a bucket, each component of the signatures
+grows against its unvisited members only: no bucket is capped, and a tight group of n members costs about n comparisons
+and gives n - 1 candidate edges.
+
+Long texts of one language may have close signatures by their frequent words alone. So each candidate edge is verified
+on the two texts: the sets of their runs of ``SHINGLE`` words need a Jaccard similarity of ``MIN_JACCARD``. Where a
+rejected edge leaves a component of candidates in parts, the texts of these parts are indexed once more and all their
+close pairs across parts are verified, so that connectivity stays exact.
 
 Defined results: null and empty texts and texts without letters or digits have no signature and are in no group;
 rows with a null ``doc_id`` are not grouped; rows that share a ``doc_id`` are one document; an empty table gives an
@@ -23,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
-from .tables import column_of, connected, staged
+from .tables import column_of, connected, id_side, staged
 
 BITS = 128
 MAX_DISTANCE = 11
+SHINGLE = 3
+MIN_JACCARD = 0.5
 
 
 def segments(k: int = MAX_DISTANCE, bits: int = BITS) -> list[tuple[int, int]]:
@@ -76,10 +83,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(lo, hi - lo).take(pa.array(keep)),
+                    batch.column("print").slice(lo, hi - lo).take(pa.array(keep)),
                     pa.array(sig[keep, 0].view(np.int64)),
                     pa.array(sig[keep, 1].view(np.int64)),
                 ],
-                names=["doc_id", "lo", "hi"],
+                names=["doc_id", "print", "lo", "hi"],
             )
 
 
@@ -103,20 +111,15 @@ def variant_keys(lo: np.ndarray, hi: np.ndarray, k: int = MAX_DISTANCE) -> np.nd
 
 
 def _variants(k: int):
+    """Every row of (lo, hi, ...) once for each of its keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lo = batch.column("lo").to_numpy().view(A.U64)
-            hi = batch.column("hi").to_numpy().view(A.U64)
-            for x in range(0, len(lo), 4096):
-                a, b = lo[x : x + 4096], hi[x : x + 4096]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(variant_keys(a, b, k).ravel()),
-                        pa.array(np.repeat(a.view(np.int64), BITS)),
-                        pa.array(np.repeat(b.view(np.int64), BITS)),
-                    ],
-                    names=["key", "lo", "hi"],
-                )
+            cols = [c.to_numpy() for c in batch.columns]
+            for x in range(0, batch.num_rows, 4096):
+                part = [c[x : x + 4096] for c in cols]
+                key = variant_keys(part[0].view(A.U64), part[1].view(A.U64), k).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(c, BITS)) for c in part)], names=["key", *batch.schema.names])
 
     return run
 
@@ -140,7 +143,7 @@ def _grow(lo: np.ndarray, hi: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _bucket_edges(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> np.ndarray:
-    """Verified edges (lo, hi, lo, hi) within the equal keys of sorted arrays of whole buckets."""
+    """Candidate edges (lo, hi, lo, hi) within the equal keys of sorted arrays of whole buckets."""
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(edge, len(key)))
     found = []
@@ -185,27 +188,88 @@ def _verify(k: int):
     return run
 
 
+def shingles(codes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The distinct hashes of each text's runs of SHINGLE folded words; a shorter text is one run."""
+    low = A.folded()[codes]
+    starts, ends = A.word_spans(low > 0, offsets)
+    h = A.span_hashes(low, starts, ends)
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    words = np.bincount(doc, minlength=len(offsets) - 1)
+    edge = np.append(0, np.cumsum(words))
+    place = np.arange(len(h)) - edge[doc]
+    key = h.copy()
+    for back in range(1, SHINGLE):
+        prior = np.zeros(len(h), A.U64)
+        prior[back:] = h[:-back]
+        prior[place < back] = 0
+        key = A.mix(key * A.U64(0x9E3779B97F4A7C15) + prior)
+    return [np.unique(key[min(a + SHINGLE, b) - 1 : b]) if a < b else key[:0] for a, b in zip(edge, edge[1:])]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        same = np.zeros(batch.num_rows)
+        b_text = A.as_text(batch.column("b_text"))
+        for lo, hi, codes, offsets in A.sub_batches(batch.column("a_text")):
+            left = shingles(codes, offsets)
+            for x, y, codes, offsets in A.sub_batches(b_text.slice(lo, hi - lo)):
+                for i, b in enumerate(shingles(codes, offsets), x):
+                    both = len(np.intersect1d(left[i], b, assume_unique=True))
+                    same[lo + i] = both / max(1, len(left[i]) + len(b) - both)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same >= MIN_JACCARD)], names=["a", "b", "near"])
+
+
+def _compared(text: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, near) of staged pairs (a, a_print, b, b_print) of documents, compared on their texts; staged."""
+    ids = id_side(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    needed = text.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+
+    def side(n: str) -> DataFrame:
+        return needed.groupBy(F.col("doc_id").alias(n), F.col("print").alias(f"{n}_print")).agg(F.first("text").alias(f"{n}_text"))
+
+    both = pairs.join(side("a"), ["a", "a_print"]).join(side("b"), ["b", "b_print"])
+    return staged(both.select("a", "b", "a_text", "b_text").mapInArrow(_compare, "a bigint, b bigint, near boolean"))
+
+
 def groups(docs: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, kept_doc_id) for every document of a group of two or more; the smallest doc_id of the group is kept.
 
-    A group is a component of the graph whose edges join signatures that differ in at most ``k`` bits.
+    A group is a component of the graph whose edges join texts with signatures that differ in at most ``k`` bits and
+    with a Jaccard similarity of at least ``MIN_JACCARD``.
     """
-    text = docs.select(column_of(docs, "doc_id", "bigint"), column_of(docs, "text", "string"))
-    signed = text.where("doc_id is not null and text is not null").mapInArrow(_sign, "doc_id bigint, lo bigint, hi bigint")
-    signed = staged(signed)
-    distinct = signed.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"))
-    distinct = staged(distinct)
-    keyed = distinct.mapInArrow(_variants(k), "key bigint, lo bigint, hi bigint")
+    text = docs.select(column_of(docs, "doc_id", "bigint"), column_of(docs, "text", "string")).where("doc_id is not null and text is not null")
+    text = text.withColumn("print", F.xxhash64("text"))
+    signed = staged(text.mapInArrow(_sign, "doc_id bigint, print bigint, lo bigint, hi bigint"))
+    nodes = staged(signed.groupBy("lo", "hi", "print").agg(F.min("doc_id").alias("rep")))
+    distinct = staged(nodes.groupBy("lo", "hi").agg(F.min(F.struct("rep", "print")).alias("of")).select("lo", "hi", "of.rep", "of.print"))
+    keyed = distinct.select("lo", "hi").mapInArrow(_variants(k), "key bigint, lo bigint, hi bigint")
     pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(
         _verify(k), "alo bigint, ahi bigint, blo bigint, bhi bigint"
     )
     pairs = staged(pairs.distinct())
-    reps = distinct.select(F.col("lo").alias("l"), F.col("hi").alias("h"), "rep")
-    named = pairs.join(reps.withColumnRenamed("rep", "a"), (F.col("alo") == F.col("l")) & (F.col("ahi") == F.col("h"))).drop("l", "h")
-    named = named.join(reps.withColumnRenamed("rep", "b"), (F.col("blo") == F.col("l")) & (F.col("bhi") == F.col("h")))
-    same = signed.join(distinct, ["lo", "hi"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = named.select("a", "b").union(same).where("a <> b")
-    found = connected(edges)
+    a, b = (distinct.select(F.col("lo").alias(f"{n}lo"), F.col("hi").alias(f"{n}hi"), F.col("rep").alias(n), F.col("print").alias(f"{n}_print")) for n in "ab")
+    ends = ["a", "a_print", "b", "b_print"]
+    named = pairs.join(a, ["alo", "ahi"]).join(b, ["blo", "bhi"]).select(*ends)
+    alike = nodes.select("lo", "hi", F.col("rep").alias("a"), F.col("print").alias("a_print")).join(b, (F.col("lo") == F.col("blo")) & (F.col("hi") == F.col("bhi"))).where("a_print <> b_print").select(*ends)
+    first = _compared(text, staged(named.union(alike).where("a <> b")))
+    copies = signed.join(nodes, ["lo", "hi", "print"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    found = staged(connected(first.where("near").select("a", "b").union(copies)))
+
+    # Candidates that rejected edges held together: the parts, and all close pairs of texts across them.
+    part = lambda n: found.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+    torn = first.where("not near").join(part("a"), "a", "left").join(part("b"), "b", "left")
+    torn = staged(torn.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b").distinct())
+    if not torn.isEmpty():
+        parts = id_side(torn.select(F.col("a").alias("part")).union(torn.select(F.col("b").alias("part"))).distinct())
+        members = nodes.join(part("rep"), "rep", "left").select("lo", "hi", "rep", "print", F.coalesce("rep_root", "rep").alias("part"))
+        members = staged(members.join(parts, "part", "left_semi").select("lo", "hi", "rep", "print", "part"))
+        keyed = members.mapInArrow(_variants(k), "key bigint, lo bigint, hi bigint, rep bigint, print bigint, part bigint")
+        x, y = keyed.alias("x"), keyed.alias("y")
+        close = F.bit_count(F.expr("x.lo ^ y.lo")) + F.bit_count(F.expr("x.hi ^ y.hi")) <= k
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & close)
+        pairs = pairs.select(F.col("x.rep").alias("a"), F.col("x.print").alias("a_print"), F.col("y.rep").alias("b"), F.col("y.print").alias("b_print")).distinct()
+        more = _compared(text, staged(pairs)).where("near").select("a", "b")
+        found = connected(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
 
 

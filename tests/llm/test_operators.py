@@ -201,6 +201,24 @@ def test_near_dedup(spark, awkward):
     assert simhash.deduplicate(empty_like(spark, docs)).count() == 0
 
 
+def test_long_unrelated_texts_stay_apart(spark):
+    """Close signatures of unrelated texts are no edge, and do not hide the near copies behind them."""
+    r = random.Random(15)
+    often = [1 / (i + 1) for i in range(len(WORDS))]
+    text = lambda: r.choices(WORDS, often, k=6000)
+    base = text()
+    copy = list(base)
+    copy[100] = "other"
+    mixed = list(base)
+    r.shuffle(mixed)  # the same signature as base
+    texts = [mixed, *(text() for _ in range(8)), base, copy, copy + ["Other."]]
+    sig, _ = simhash.signatures(*A.code_points(pa.array([" ".join(t) for t in texts])))
+    close = np.array([[int(np.bitwise_count(a ^ b).sum()) <= simhash.MAX_DISTANCE for a in sig] for b in sig])
+    assert close[0, 9:].all() and close[1:9].sum() > 8  # on signatures alone, unrelated ones would be joined
+    docs = frame(spark, [row(i, " ".join(t)) for i, t in enumerate(texts)])
+    assert {tuple(x) for x in simhash.near_duplicates(docs).collect()} == {(10, 9), (11, 9)}
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(40)] + [(None, 1)]
