@@ -3,9 +3,9 @@
 A token is a tag, or a word of text, together with the path of tags above it. Its occurrence vector (how often it
 is on each page of the host) is summed up as support, total and sums of page hashes, so that vectors are
 built by one grouping over all pages. Tokens of one host with the same vector form an equivalence class; a class
-of two or more tokens is part of the template. Tags need to be on ``MIN_SHARE`` of the host's pages, words on all
-pages of a host with at least ``MIN_WORD_PAGES``; then every task can drop a word that one of its own pages lacks
-and the result is still exact. The class that is once on every page is the root: its tokens, in the order of their
+of two or more tokens is part of the template. Tags need to be on ``MIN_SHARE`` of the host's pages, words on more
+than ``MIN_WORD_SHARE`` of the pages of a host with at least ``MIN_WORD_PAGES``, for on fewer pages the words of the
+content have equal vectors by chance. Shares are taken after the grouping, so that all vectors are whole. The class that is once on every page is the root: its tokens, in the order of their
 mean position, give the gaps; the other classes are nested into the gap in which they occur. What is left of a page
 is the content of its slots, one for each run between template tokens; a page that has a root token out of order
 takes it as content.
@@ -32,7 +32,10 @@ from pyspark.sql import types as T
 from .tables import extended, staged
 
 MIN_SHARE = 0.3
+MIN_WORD_SHARE = 0.5
 MIN_WORD_PAGES = 8
+#: Vectors that a task holds at most before it hands them over, about 400 bytes each.
+HELD_TOKENS = 300_000
 PATH_DEPTH = 6
 #: Tokens of all templates that are sent to every executor at most, about 20 bytes each; more are joined by host,
 #: where adaptive execution splits the pages of a large host, whose template is one row.
@@ -91,12 +94,12 @@ def _weight(url: str | None, page: str) -> tuple[int, int]:
 
 
 class _Host:
-    """Vectors of one host's tokens on the pages seen so far; of words only those that all these pages have."""
+    """Vectors of one host's tokens on the pages seen so far."""
 
     def __init__(self):
         self.pages = 0
         self.tags: dict[tuple[str, str], list] = {}
-        self.words: dict[tuple[str, str], list] | None = None
+        self.words: dict[tuple[str, str], list] = {}
 
     def add(self, url: str | None, page: str) -> None:
         w0, w1 = _weight(url, page)
@@ -122,22 +125,15 @@ class _Host:
             v[2] += w0 * count
             v[3] += w1 * count
             v[4] += first / max(n, 1)
-        if self.words is None or self.words:
-            counts = {path: Counter(" ".join(parts).split()) for path, parts in text.items()}
-            if self.words is None:
-                self.words = {(word, path): [0, 0, 0, 0, 0.0] for path, c in counts.items() for word in c}
-            gone = []
-            for k, v in self.words.items():
-                count = counts.get(k[1], {}).get(k[0], 0)
-                if not count:
-                    gone.append(k)
-                    continue
+        for path, parts in text.items():
+            for word, count in Counter(" ".join(parts).split()).items():
+                v = self.words.get((word, path))
+                if v is None:
+                    v = self.words[word, path] = [0, 0, 0, 0, 0.0]
                 v[0] += 1
                 v[1] += count
                 v[2] += w0 * count
                 v[3] += w1 * count
-            for k in gone:
-                del self.words[k]
         self.pages += 1
 
 
@@ -157,7 +153,7 @@ def vectors(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
             for host, of in hosts.items():
                 rows = [(0, False, of.pages, of.pages, 0, 0, 0.0)]
                 rows += [(_key(*k), False, *v) for k, v in of.tags.items()]
-                rows += [(_key(*k), True, *v) for k, v in (of.words or {}).items()]
+                rows += [(_key(*k), True, *v) for k, v in of.words.items()]
                 for row in rows:
                     for c, x in zip(cols, (host, *row)):
                         c.append(x)
@@ -166,11 +162,13 @@ def vectors(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
         for batch in batches:
             for host, u, page in zip(*(c.to_pylist() for c in batch.columns)):
-                hosts.setdefault(host, _Host()).add(u, page)
-                held += len(page)
-            if held > 64_000_000 and len(hosts) > 1000:  # a task with very many hosts hands over what it has
-                yield out()
-                hosts, held = {}, 0
+                of = hosts.setdefault(host, _Host())
+                held -= len(of.tags) + len(of.words)
+                of.add(u, page)
+                held += len(of.tags) + len(of.words)
+                if held > HELD_TOKENS:  # vectors are sums: a task hands over what it has and begins anew
+                    yield out()
+                    hosts, held = {}, 0
         if hosts:
             yield out()
 
@@ -182,10 +180,12 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     v = vectors(pages, url, html).groupBy("host", "key", "word").agg(
         F.sum("support").alias("support"), F.sum("total").alias("total"), F.sum("print").alias("print"), F.sum("print2").alias("print2"), F.sum("position").alias("position")
     )
+    # What no host's number of pages can make a template token goes before the exchange by host.
+    v = v.where((F.col("key") == 0) & ~F.col("word") | (F.col("support") > F.when(F.col("word"), MIN_WORD_SHARE * MIN_WORD_PAGES).otherwise(1)))
     by_host = "partition by host"
     v = v.withColumn("pages", F.expr(f"max(case when key = 0 and not word then support end) over ({by_host})"))
     v = v.where("not (key = 0 and not word) and pages > 1")
-    v = v.where(F.when(F.col("word"), (F.col("support") == F.col("pages")) & (F.col("pages") >= MIN_WORD_PAGES)).otherwise((F.col("support") >= MIN_SHARE * F.col("pages")) & (F.col("support") > 1)))
+    v = v.where(F.when(F.col("word"), (F.col("support") > MIN_WORD_SHARE * F.col("pages")) & (F.col("pages") >= MIN_WORD_PAGES)).otherwise((F.col("support") >= MIN_SHARE * F.col("pages")) & (F.col("support") > 1)))
     v = v.withColumn("size", F.expr("count(*) over (partition by host, support, total, print, print2)")).where("size > 1")
     v = v.withColumn("root", F.expr("support = pages and total = pages"))
     v = v.withColumn("cls", F.when(F.col("root"), F.lit(0)).otherwise(F.expr(f"dense_rank() over ({by_host} order by root desc, support desc, total, print, print2)")).cast("int"))

@@ -367,6 +367,18 @@ def test_template_extraction(spark):
     assert template.extract(empty_like(spark, pages))[0].count() == 0
 
 
+def test_deviant_pages_leave_the_template_words(spark):
+    """An empty page, an error page and a second layout on a host, spread over several tasks."""
+    other = [(30 + i, f"https://a.example/o/{i}", f"<html><body><table><tr><td>{prose(random.Random(i), 9)}</table></body></html>") for i in range(5)]
+    rows = [*map(page, range(20)), (20, "https://a.example/", ""), (21, "https://a.example/e", "<h1>Error 500</h1>"), *other]
+    out, n = template.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3))
+    got = {r["page_id"]: r[n["text"]] for r in out.collect()}
+    for i in range(20):
+        assert "Buy our stuff" not in got[i] and "rights" not in got[i] and f"H{i}" in got[i]
+        assert all(w in got[i] for w in re.findall(r"<p>([^<]*)", rows[i][2].split("</script>")[1]))
+    assert got[20] == "" and "Error 500" in got[21] and all(got[x[0]] in x[2] for x in other)
+
+
 def test_classes_against_vectors(spark):
     """The deduced classes are those of whole occurrence vectors."""
     rows = [page(i, extra="<aside><b>z</b></aside>" if i % 2 else "") for i in range(12)]
