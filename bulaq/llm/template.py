@@ -6,7 +6,8 @@ built by one grouping over all pages. Tokens of one host with the same vector fo
 of two or more tokens is part of the template. Tags need to be on ``MIN_SHARE`` of the host's pages, words on more
 than ``MIN_WORD_SHARE`` of the pages of a host with at least ``MIN_WORD_PAGES``, for on fewer pages the words of the
 content have equal vectors by chance. Shares are taken after the grouping, so that all vectors are whole. The class that is once on every page is the root: its tokens, in the order of their
-mean position, give the gaps; the other classes are nested into the gap in which they occur. What is left of a page
+mean position, give the gaps; tokens of other classes only end a slot: classes are neither checked for order and
+containment nor nested, so repeated records are a flat list of slots of one gap. What is left of a page
 is the content of its slots, one for each run between template tokens; a page that has a root token out of order
 takes it as content.
 
