@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,31 +18,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one of our own only where the session names none (tests)."""
+    """The folder of ``spark.checkpoint.dir``; one of our own where a local session names none, an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(shared_dir, "own", None)
         if not at:
             at = shared_dir.own = Path(tempfile.mkdtemp(prefix="bulaq-")).as_uri()
     return at.rstrip("/")
 
 
+#: Staged tables of the scopes that are open, the innermost last; those of the first list live until the session ends.
+_SCOPES: list[list[DataFrame]] = [[]]
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: lineage ends there, any executor may be lost."""
     path = f"{shared_dir(df.sparkSession)}/bulaq/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    _SCOPES[-1].append(out)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
+    for of in _SCOPES:
+        of[:] = [t for t in of if t is not df]
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scope():
+    """Deletes the tables that were staged within it, but for those that went through kept()."""
+    own: list[DataFrame] = []
+    _SCOPES.append(own)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        for t in own:
+            discard(t)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A staged table, handed to the surrounding scope: a result may read it after the inner one ends."""
+    for i in range(len(_SCOPES) - 1, 0, -1):
+        if any(t is df for t in _SCOPES[i]):
+            _SCOPES[i][:] = [t for t in _SCOPES[i] if t is not df]
+            _SCOPES[i - 1].append(df)
+            break
+    return df
+
+
+@atexit.register
+def _last() -> None:
+    """What lazy results still read is deleted when Python ends, if the session is there."""
+    for t in list(_SCOPES[0]):
+        if t.sparkSession.sparkContext._jsc is None:
+            break
+        discard(t)
+
+
 #: Rows of one id that are sent to every executor at most, about 20 bytes each; more are joined by shuffling.
 BROADCAST_IDS = 8_000_000
 
@@ -73,8 +116,16 @@ def extended(df: DataFrame, extra: dict[str, T.DataType]) -> tuple[T.StructType,
     return T.StructType(fields), names
 
 
+def spare(name: str, *tables: DataFrame) -> str:
+    """``name`` with underscores, until none of the tables has such a column."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for all nodes of ``edges`` (a, b): the root is the smallest node of the component.
+    """(node, root), staged, for all nodes of ``edges`` (a, b): the root is the smallest node of the component.
 
     Alternates large-star and small-star steps, each a group-by on one endpoint, until the edges stay the same;
     every round's edges are written into the shared folder. Edges with a null end are ignored.
@@ -106,4 +157,4 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return staged(stars.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
