@@ -1,14 +1,16 @@
 """Near duplicates by SimHash with deletion-variant signatures.
 
-Each text gets a 128-bit SimHash of its distinct folded words, weighted by their count to the power 0.75. Two
+Each text gets a 128-bit SimHash of its distinct folded words, weighted by their count up to ``MOST_COUNT``. Without
+that bound the frequent words of a language would decide the signature of a long text, and unrelated long texts would
+be candidates. Two
 signatures that differ in at most ``k`` bits, cut into ``m = k // 2 + 1`` segments, agree in one segment up to at
 most one bit. So each segment is indexed by all of its one-wildcard variants (the segment without one bit); an
 equality join on (segment, place of the wildcard, other bits) meets every such pair. Equal signatures are joined
 first, so that thousands of exact copies are one entry of the index. Within a bucket, each component of the signatures
-grows against its unvisited members only: no bucket is capped, and a tight group of n members costs about n comparisons
-and gives n - 1 candidate edges.
+grows against its unvisited members only, from the smallest signature: no bucket is capped, a tight group of n members
+costs about n comparisons and gives n - 1 candidate edges, and its buckets give the same ones.
 
-Long texts of one language may have close signatures by their frequent words alone. So each candidate edge is verified
+Close signatures are no proof. So each candidate edge is verified
 on the two texts: the sets of their runs of ``SHINGLE`` words need a Jaccard similarity of ``MIN_JACCARD``. Where a
 rejected edge leaves a component of candidates in parts, the texts of these parts are indexed once more and all their
 close pairs across parts are verified, so that connectivity stays exact.
@@ -28,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
-from .tables import column_of, connected, id_side, staged
+from .tables import column_of, connected, id_side, kept, scope, spare, staged
 
 BITS = 128
 MAX_DISTANCE = 11
+MOST_COUNT = 16
 SHINGLE = 3
 MIN_JACCARD = 0.5
 
@@ -61,7 +64,7 @@ def signatures(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     at = np.flatnonzero(first)
     tf = np.diff(np.append(at, len(h)))
     h, doc = h[at], doc[at]
-    weight = np.round(16 * tf**0.75).astype(np.float32)  # whole numbers: sums do not depend on their order
+    weight = np.minimum(tf, MOST_COUNT).astype(np.float32)  # whole numbers: sums do not depend on their order
     present, lead = np.unique(doc, return_index=True)
     stops = np.append(lead[1:], len(h))
     for p, a, b in zip(present, lead, stops):
@@ -104,7 +107,7 @@ def variant_keys(lo: np.ndarray, hi: np.ndarray, k: int = MAX_DISTANCE) -> np.nd
                 part |= bits << A.U64(a - first)
         for w in range(width):
             rest = part & A.U64(((1 << width) - 1) & ~(1 << w))
-            keyed = A.mix(rest + A.U64(n + 1) * A.U64(0x9E3779B97F4A7C15)) if width > 40 else rest | A.U64(n << 48)
+            keyed = A.mix(rest + A.U64((n + 1) * 0x9E3779B97F4A7C15 % 2**64)) if width > 40 else rest | A.U64(n << 48)
             out[:, n] = keyed.view(np.int64)
             n += 1
     return out
@@ -126,7 +129,7 @@ def _variants(k: int):
 
 def _grow(lo: np.ndarray, hi: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that span the components of one bucket, where an edge is a distance of at most k."""
-    left = np.arange(len(lo))
+    left = np.lexsort((hi, lo))
     a, b = [], []
     while len(left):
         front, left = [left[0]], left[1:]
@@ -147,14 +150,19 @@ def _bucket_edges(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> np
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(edge, len(key)))
     found = []
-    small = (size > 1) & (size <= 6)
-    for d in range(1, 6):
-        for first in range(0, 6 - d):
-            i = edge[small & (size > first + d)] + first
-            if len(i):
-                near = np.bitwise_count(lo[i] ^ lo[i + d]) + np.bitwise_count(hi[i] ^ hi[i + d]) <= k
-                i = i[near]
-                found.append(np.stack([lo[i], hi[i], lo[i + d], hi[i + d]], 1))
+    least = np.minimum.reduceat(lo, edge) if len(edge) else lo
+    some = np.flatnonzero((size > 1) & (size <= 6))
+    for n in range(2, 7):
+        of = some[size[some] == n]
+        if not len(of):
+            continue
+        i, j = np.triu_indices(n, 1)
+        a, b = edge[of][:, None] + i, edge[of][:, None] + j
+        near = np.bitwise_count(lo[a] ^ lo[b]) + np.bitwise_count(hi[a] ^ hi[b]) <= k
+        low = least[of][:, None]
+        near &= ~near.all(1)[:, None] | (lo[a] == low) | (lo[b] == low)  # where all are close, a star is enough
+        a, b = a[near], b[near]
+        found.append(np.stack([lo[a], hi[a], lo[b], hi[b]], 1))
     for x, n in zip(edge[size > 6], size[size > 6]):
         a, b = _grow(lo[x : x + n], hi[x : x + n], k)
         found.append(np.stack([lo[x + a], hi[x + a], lo[x + b], hi[x + b]], 1))
@@ -168,7 +176,10 @@ def _verify(k: int):
         held: list[list[np.ndarray]] = [[], [], []]
 
         def edges(parts: list[np.ndarray]) -> pa.RecordBatch:
-            e = np.unique(_bucket_edges(parts[0], parts[1].view(A.U64), parts[2].view(A.U64), k), axis=0).view(np.int64)
+            e = _bucket_edges(parts[0], parts[1].view(A.U64), parts[2].view(A.U64), k)
+            turn = (e[:, 0] > e[:, 2]) | (e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3])
+            e[turn] = e[turn][:, [2, 3, 0, 1]]
+            e = np.unique(e, axis=0).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i])) for i in range(4)], names=["alo", "ahi", "blo", "bhi"])
 
         for batch in batches:
@@ -237,6 +248,11 @@ def groups(docs: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
     A group is a component of the graph whose edges join texts with signatures that differ in at most ``k`` bits and
     with a Jaccard similarity of at least ``MIN_JACCARD``.
     """
+    with scope():
+        return kept(_groups(docs, k))
+
+
+def _groups(docs: DataFrame, k: int) -> DataFrame:
     text = docs.select(column_of(docs, "doc_id", "bigint"), column_of(docs, "text", "string")).where("doc_id is not null and text is not null")
     text = text.withColumn("print", F.xxhash64("text"))
     signed = staged(text.mapInArrow(_sign, "doc_id bigint, print bigint, lo bigint, hi bigint"))
@@ -253,7 +269,7 @@ def groups(docs: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
     alike = nodes.select("lo", "hi", F.col("rep").alias("a"), F.col("print").alias("a_print")).join(b, (F.col("lo") == F.col("blo")) & (F.col("hi") == F.col("bhi"))).where("a_print <> b_print").select(*ends)
     first = _compared(text, staged(named.union(alike).where("a <> b")))
     copies = signed.join(nodes, ["lo", "hi", "print"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    found = staged(connected(first.where("near").select("a", "b").union(copies)))
+    found = connected(first.where("near").select("a", "b").union(copies))
 
     # Candidates that rejected edges held together: the parts, and all close pairs of texts across them.
     part = lambda n: found.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
@@ -267,10 +283,12 @@ def groups(docs: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
         x, y = keyed.alias("x"), keyed.alias("y")
         close = F.bit_count(F.expr("x.lo ^ y.lo")) + F.bit_count(F.expr("x.hi ^ y.hi")) <= k
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & close)
-        pairs = pairs.select(F.col("x.rep").alias("a"), F.col("x.print").alias("a_print"), F.col("y.rep").alias("b"), F.col("y.print").alias("b_print")).distinct()
+        pairs = pairs.select(F.col("x.rep").alias("a"), F.col("x.print").alias("a_print"), F.col("y.rep").alias("b"), F.col("y.print").alias("b_print"))
+        tried = first.where("not near").select("a", "b").union(first.where("not near").select("b", "a"))
+        pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
         more = _compared(text, staged(pairs)).where("near").select("a", "b")
         found = connected(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
+    return staged(found.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id")))
 
 
 def near_duplicates(docs: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
@@ -280,5 +298,6 @@ def near_duplicates(docs: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
 
 def deduplicate(docs: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` with one document of each group, all columns as they were; what is in no group stays."""
-    gone = near_duplicates(docs, k).select(F.col("doc_id").alias("gone__"))
-    return docs.join(gone, docs["doc_id"].cast("bigint") == F.col("gone__"), "left_anti")
+    name = spare("gone", docs)
+    gone = id_side(near_duplicates(docs, k).select(F.col("doc_id").alias(name)))
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone[name], "left_anti")
