@@ -1,15 +1,18 @@
 """PII: information-theoretic sanitisation.
 
-Protected entities are found by their form: e-mail and IP addresses, telephone, card and account numbers, social
-security numbers, keys and other secrets. An entity discloses itself and is generalised to its kind. A term (word)
-discloses entity c if the pointwise mutual information PMI(c; t) = log p(c|t)/p(c) reaches ``DISCLOSURE`` of the
-information content IC(c) = -log p(c), where p(c|t) is the share of the term's occurrences, over all documents, that
-lie within ``WINDOW`` words of c, and p(c) the share of all words that do. Estimates need ``SUPPORT`` different
-contexts: copies of one passage are one context. A disclosing term is generalised wherever it occurs ([NUMBER],
-[NAME] or [TERM]); one of which at least ``REMOVAL`` of the information content is disclosed is removed.
+Values are found by their form: e-mail and IP addresses, telephone, card and account numbers, social security numbers,
+keys and other secrets; numbers that carry a checksum need to fulfil it. Each value stands for up to three protected
+entities: itself, its owner (the domain of an address, the network of an IP address, the prefix of a number) and its
+kind. A value discloses itself and is generalised to its kind. A term (word) discloses entity c if the pointwise
+mutual information PMI(c; t) = log p(c|t)/p(c) reaches ``DISCLOSURE`` of the information content IC(c) = -log p(c),
+where p(c|t) is the share of the term's occurrences, over all documents, that lie within ``WINDOW`` words of c, and
+p(c) the share of all words that do. Estimates need ``SUPPORT`` different contexts: copies of one passage are one
+context. A disclosing term is generalised wherever it occurs ([NUMBER], [NAME] or [TERM]); one of which at least
+``REMOVAL`` of the information content is disclosed is removed.
 
 Corpus counts cover all documents. Up to ``BROADCAST_TERMS`` candidate terms are looked up in memory while the words
-are counted; more are counted by joining each run's words to them.
+are counted; more are counted by joining each run's words to them. As many disclosing terms are looked up at once;
+more are looked up part by part in the unchanged texts, which are rewritten once.
 
 Defined results: a null text stays null with null counts, an empty text stays empty; texts without entity and term
 come back unchanged, byte for byte; every row is rewritten by itself and repeated rows alike; an empty table gives
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as A
-from .tables import column_of, discard, extended, staged
+from .tables import column_of, extended, kept, scope, staged
 
 WINDOW = 5
 SUPPORT = 3
@@ -40,22 +43,76 @@ BROADCAST_TERMS = 2_000_000
 #: Kinds in the order in which they are tried at a place of the text.
 FORMS = {
     "SECRET": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:gh[pousr]_|sk[-_](?:live[-_])?|xox[abpr]-)[A-Za-z0-9_\-]{10,}"
-    r"|(?<=[\"'= :])(?=[A-Za-z0-9+/_\-]{0,80}[0-9])[A-Za-z0-9+/_\-]{32,}={0,2}|(?i:password|passwd|pwd|secret|token|api_?key)[\"']?\s?[=:]\s?[\"']?(?P<VALUE>[^\s\"']{8,})|\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+",
-    "EMAIL": r"[\w.+%\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}",
+    r"|(?<![^\s\"'=:])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{32,}={0,2}|(?i:password|passwd|pwd|secret|token|api_?key)[\"']?\s?[=:]\s?[\"']?(?P<VALUE>[^\s\"']{8,})|\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+",
+    "EMAIL": r"(?<![\w.+%\-])[\w.+%\-]++@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}",
     "IP": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "ACCOUNT": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "SSN": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "PHONE": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?!\w)|(?<!\w)(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\- ]\d{4}(?!\w)|(?<!\w)\d{3} \d{3} \d{4}(?!\w)|(?<!\w)0\d(?:[ .]\d\d){4}(?!\w)",
-    "CARD": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
+    "CARD": r"(?<![\w.\-])[2-6](?:[ \-]?\d){12,18}(?![\w\-])",
 }
 _ENTITY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMS.items()))
-#: Whatever matches a form matches this, which a linear engine tests first.
-_MAYBE = r"@|[0-9][0-9 ().\-]{5,}[0-9]|[0-9A-Za-z+/_\-]{20}|[0-9]{2}(?: ?[A-Z0-9]{4}){3}|(?i:PRIVATE KEY|password|passwd|pwd|secret|token|api_?key)|sk[-_]|gh[pousr]_|xox|eyJ|(?:[0-9A-Fa-f]{1,4}:){7}"
+
+
+def _loosened(form: str) -> str:
+    """A form for a linear engine, which may match more: without assertions and the local part of an address."""
+    form = re.sub(r"\(\?<?[=!][^()]*\)|\\b", "", form)
+    form = form.replace("(?P<VALUE>", "(?:").replace(r"[^\W\d_]", r"[\pL\pM\pN]").replace(r"[\w.+%\-]++@", "@").replace("++", "+").replace("*+", "*")
+    return form.replace(r"[\w\-]", r"[\pL\pM\pN_\-]").replace(r"\d", r"\p{Nd}").replace(r"\s?", r"[\s\pZ\x0b\x1c-\x1f\x85]?").replace(r"[^\s\"']", r"[^\"']")
+
+
+#: Whatever matches a form matches this, which a linear engine tests first: it is made of the forms.
+_MAYBE = "|".join(map(_loosened, FORMS.values()))
+
+
+def _luhn(digits: list[int]) -> bool:
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def _sound(kind: str, value: str) -> bool:
+    """Whether a number fulfils the checksum and ranges of its kind."""
+    if kind == "CARD":
+        return _luhn([int(c) for c in value if c.isdecimal()])
+    if kind == "ACCOUNT":
+        plain = value.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    if kind == "SSN":
+        area = int(value[:3])
+        return 0 < area < 900 and area != 666 and int(value[4:6]) > 0 and int(value[7:]) > 0
+    return True
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all protected entities, in order and without overlap."""
-    return [(*(m.span("VALUE") if m["VALUE"] else m.span()), m.lastgroup) for m in _ENTITY.finditer(text)]
+    """(start, end, kind) of all protected values, in order and without overlap."""
+    out, at = [], 0
+    while m := _ENTITY.search(text, at):
+        kind = m.lastgroup
+        at = m.end()
+        if _sound(kind, m.group()):
+            out.append((*(m.span("VALUE") if m["VALUE"] else m.span()), kind))
+    return out
+
+
+def owner(kind: str, value: str) -> str | None:
+    """Whose a value is as far as it tells: a domain, a network, the prefix of a number."""
+    digits = "".join(c for c in value if c.isdecimal())
+    if kind == "EMAIL":
+        return value.rpartition("@")[2].lower()
+    if kind == "IP":
+        return value.rpartition(":" if ":" in value else ".")[0].lower()
+    if kind == "PHONE":
+        return digits[:-4]
+    if kind == "CARD":
+        return digits[:6]
+    if kind == "ACCOUNT":
+        return value.replace(" ", "")[:8]
+    return None
+
+
+def _protected(kind: str, value: str) -> list[int]:
+    """Hashes of the entities that a value stands for."""
+    of = owner(kind, value)
+    return [A.hash_word(x) for x in (f"{kind} value {value.strip().lower()}", f"{kind} owner {of}" if of else None, f"{kind} any") if x]
 
 
 def _words(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,15 +143,15 @@ def _contexts(window: int):
                         x = np.searchsorted(starts, offsets[i] + a)
                         y = np.searchsorted(starts, offsets[i] + b)
                         near = np.concatenate([h[max(first[i], x - window) : x], h[y : min(first[i + 1], y + window)]])
-                        who = A.hash_word(f"{kind} {t_[a:b].strip().lower()}")
+                        of = _protected(kind, t_[a:b])
                         if len(near):
                             ctx = int(A.mix(np.array([np.add.reduce(near * (np.arange(len(near), dtype=A.U64) * A.U64(2) + A.U64(1)))], A.U64))[0])
                         else:
-                            ctx = who
+                            ctx = of[0]
                         terms = np.unique(np.append(near, A.U64(0)))
-                        e.append(np.full(len(terms), who, A.U64))
-                        c.append(np.full(len(terms), ctx, A.U64))
-                        t.append(terms)
+                        e.append(np.repeat(np.array(of, A.U64), len(terms)))
+                        c.append(np.full(len(terms) * len(of), ctx, A.U64))
+                        t.append(np.tile(terms, len(of)))
                 if e:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (e, c, t)], names=["entity", "context", "term"])
 
@@ -129,6 +186,11 @@ def disclosing(
     docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE, removal: float = REMOVAL, broadcast_terms: int = BROADCAST_TERMS
 ) -> DataFrame:
     """(term, gone): hashes of the terms that disclose an entity, and whether they are to be removed; staged."""
+    with scope():
+        return kept(_disclosing(docs, window, support, disclosure, removal, broadcast_terms))
+
+
+def _disclosing(docs: DataFrame, window: int, support: int, disclosure: float, removal: float, broadcast_terms: int) -> DataFrame:
     text = docs.select(column_of(docs, "text", "string")).where("text is not null")
     near = staged(text.mapInArrow(_contexts(window), "entity bigint, context bigint, term bigint"))
     same = near.groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.count_distinct("context").alias("contexts"))
@@ -151,10 +213,7 @@ def disclosing(
     share = F.least(F.col("n_ct") / F.col("n_t"), F.lit(1.0))
     pmi, ic = F.log(share / p), -F.log(p)
     told = both.withColumn("told", pmi / ic).where((ic > 0) & (F.col("told") >= disclosure))
-    found = staged(told.groupBy("term").agg((F.max("told") >= removal).alias("gone")))
-    for t in (near, same, terms, counted):
-        discard(t)
-    return found
+    return staged(told.groupBy("term").agg((F.max("told") >= removal).alias("gone")))
 
 
 def _general(word: str) -> str:
@@ -164,48 +223,82 @@ def _general(word: str) -> str:
 def sanitize(docs: DataFrame, **options) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with rewritten texts, ``n_entities`` and ``n_terms``, and the names of these two columns.
 
-    Options are those of disclosing(). More than ``BROADCAST_TERMS`` disclosing terms are applied in several passes.
+    Options are those of disclosing().
     """
     found = disclosing(docs, **options)
-    most = options.get("broadcast_terms", BROADCAST_TERMS) or BROADCAST_TERMS
-    passes = found.count() // most + 1
+    most = options.get("broadcast_terms", BROADCAST_TERMS) or 1
+    parts = (found.count() - 1) // most + 1
+    marked, own = extended(docs, {"marks": T.ArrayType(T.LongType())})
+    at, out = docs.columns.index("text"), docs
+    for part in range(parts):
+        shared = docs.sparkSession.sparkContext.broadcast(_lookup(found.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part)))
+        if part < parts - 1:
+            out = out.mapInArrow(_mark(shared, at, marked.fieldNames(), part > 0), marked)
     schema, names = extended(docs, {"n_entities": T.LongType(), "n_terms": T.LongType()})
-    at = docs.columns.index("text")
-    out = docs.withColumn(names["n_entities"], F.lit(0).cast("bigint")).withColumn(names["n_terms"], F.lit(0).cast("bigint"))
-    for part in range(passes):
-        own = found.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == part).orderBy("term").toArrow()
-        keys, gone = own.column("term").to_numpy().astype(np.int64).view(A.U64), own.column("gone").to_numpy().astype(bool)
-        shared = docs.sparkSession.sparkContext.broadcast((A.HashIndex(keys), gone))
-        out = out.mapInArrow(_rewrite(shared, at, schema.fieldNames()), schema)
-    return out, names
+    if not parts:
+        shared = docs.sparkSession.sparkContext.broadcast(_lookup(found))
+    return out.mapInArrow(_rewrite(shared, at, schema.fieldNames(), parts > 1), schema), names
+
+
+def _lookup(found: DataFrame) -> tuple[A.HashIndex, np.ndarray]:
+    own = found.orderBy("term").toArrow()
+    return A.HashIndex(own.column("term").to_numpy().astype(np.int64).view(A.U64)), own.column("gone").to_numpy().astype(bool)
+
 
+def _marks(text: pa.Array, lookup: A.HashIndex, gone: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+    """(start, end, whether it goes) of the disclosing terms of each row that has any."""
+    marks: dict[int, list[tuple[int, int, int]]] = {}
+    if not len(gone):
+        return marks
+    for lo, _, codes, offsets in A.sub_batches(text):
+        starts, ends, h = _words(codes, offsets)
+        which = lookup.find(h)
+        hit = np.flatnonzero(which >= 0)
+        doc = np.searchsorted(offsets, starts[hit], side="right") - 1
+        for d, s, e, g in zip(doc.tolist(), (starts[hit] - offsets[doc]).tolist(), (ends[hit] - offsets[doc]).tolist(), gone[which[hit]].tolist()):
+            marks.setdefault(lo + d, []).append((s, e, g))
+    return marks
+
+
+def _carried(column: pa.Array) -> dict[int, list[tuple[int, int, int]]]:
+    return {i: list(zip(m[::3], m[1::3], m[2::3])) for i, m in enumerate(column.to_pylist()) if m}
+
+
+def _mark(shared, at: int, names: list[str], again: bool):
+    """Adds the marks of one part of the terms to the last column."""
 
-def _rewrite(shared, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, gone = shared.value
         for batch in batches:
+            cols = list(batch.columns)
+            marks = _carried(cols.pop()) if again else {}
+            for i, m in _marks(A.as_text(batch.column(at)), *shared.value).items():
+                marks.setdefault(i, []).extend(m)
+            flat = [[int(x) for m in marks.get(i, ()) for x in m] for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(flat, pa.list_(pa.int64()))], names=names)
+
+    return run
+
+
+def _rewrite(shared, at: int, names: list[str], marked: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(batch.columns)
             text = A.as_text(batch.column(at))
             null = batch.column(at).is_null().to_numpy(zero_copy_only=False)
             changed: dict[int, str] = {}
             n_e, n_t = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            marks: dict[int, list[tuple[int, int, int]]] = {}
-            if len(gone):
-                for lo, _, codes, offsets in A.sub_batches(text):
-                    starts, ends, h = _words(codes, offsets)
-                    which = lookup.find(h)
-                    hit = np.flatnonzero(which >= 0)
-                    doc = np.searchsorted(offsets, starts[hit], side="right") - 1
-                    for d, s, e, w in zip(doc.tolist(), (starts[hit] - offsets[doc]).tolist(), (ends[hit] - offsets[doc]).tolist(), which[hit].tolist()):
-                        marks.setdefault(lo + d, []).append((s, e, w))
+            marks = _carried(cols.pop()) if marked else {}
+            for i, m in _marks(text, *shared.value).items():
+                marks.setdefault(i, []).extend(m)
             for i in sorted({*_maybe(text).tolist(), *marks}):
                 t = text[i].as_py()
                 spans = [(a, b, f"[{kind}]") for a, b, kind in entities(t)]
                 n_e[i] = len(spans)
                 taken = np.array([[a, b] for a, b, _ in spans], np.int64).reshape(-1, 2)
-                for s, e, w in marks.get(i, ()):
+                for s, e, gone in marks.get(i, ()):
                     k = int(np.searchsorted(taken[:, 1], s, side="right"))
                     if k == len(taken) or taken[k, 0] >= e:
-                        spans.append((s, e, "" if gone[w] else _general(t[s:e])))
+                        spans.append((s, e, "" if gone else _general(t[s:e])))
                         n_t[i] += 1
                 if not spans:
                     continue
@@ -215,14 +308,11 @@ def _rewrite(shared, at: int, names: list[str]):
                     parts += [t[last:a], new]
                     last = b
                 changed[i] = "".join([*parts, t[last:]])
-            cols = list(batch.columns)
             if changed:
                 new = text.to_pylist()
                 for i, t in changed.items():
                     new[i] = t
                 cols[at] = pa.array(new, pa.string(), mask=null)
-            cols[-2] = pa.array(n_e + pc.fill_null(cols[-2], 0).to_numpy(zero_copy_only=False), mask=null)
-            cols[-1] = pa.array(n_t + pc.fill_null(cols[-1], 0).to_numpy(zero_copy_only=False), mask=null)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_e, mask=null), pa.array(n_t, mask=null)], names=names)
 
     return run
