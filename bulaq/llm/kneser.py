@@ -2,15 +2,17 @@
 
 Counts are 64-bit keys of ``ORDER`` characters of 12 bits each, so that the context and the shorter n-gram are bit
 operations and all of the estimation is grouping and joining sharded count tables in the JVM. Characters beyond
-U+0BFF fall into 1,024 classes. A text's perplexity comes from the probabilities of its n-grams: a model of at
-most ``BROADCAST_ENTRIES`` entries is sent to the executors; a larger one is joined, as sharded tables, to the
-distinct n-grams of blocks of documents (``perplexity(..., broadcast_entries=0)`` always takes that way).
+U+0BFF fall into 1,024 classes, such that those of one alphabet differ (of Han and Hangul, about 20 and 11 share one).
+A text's perplexity comes from the probabilities of its n-grams: a model of at most ``BROADCAST_ENTRIES`` entries is
+sent to the executors; a larger one is joined, as sharded tables, to the distinct n-grams of blocks of documents
+(``perplexity(..., broadcast_entries=0)`` always takes that way). Both give the same score to the last bit.
 
 A text's score is its mean negative log-probability per character, drawn towards its language's mean with the
 weight of ``PRIOR`` characters, for a short text says little. It is rejected when the score is above its language's
-limit. One in ``HELD_OUT`` trusted texts, by a hash of the text, is kept out of the model and sets the limits:
-median + ``SLACK`` times (``QUANTILE`` - median) of that language, where the distance is at least that of all
-languages' deviations from their medians together; a language without such texts has the highest of the limits.
+limit. One in ``HELD_OUT`` trusted texts, by a hash of the text, is kept out of the model and sets the limits: the
+language's quantile ``QUANTILE`` of scores, moved away from its median to ``SLACK`` times the distance, since the
+quantile itself would reject its share of all good text (``slack=1`` takes it as it is); the distance is at least that
+of all languages' deviations from their medians together. A language without such texts has the highest of the limits.
 
 Defined results: null and empty texts have a null score and are rejected; a null language is a language of its own;
 repeated rows count and are scored one by one; with no trusted text every text that has a character is kept; an
@@ -29,11 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as A
-from .tables import column_of, discard, extended, id_side, staged
+from .tables import column_of, discard, extended, id_side, kept, scope, spare, staged
 
 ORDER = 5
 BITS = 12
 BROADCAST_ENTRIES = 8_000_000
+BROADCAST_LANGUAGES = 100_000
 PRIOR = 60
 QUANTILE = 0.99
 SLACK = 2.0
@@ -45,7 +48,7 @@ START = 1
 def symbols(codes: np.ndarray) -> np.ndarray:
     """Characters as numbers below 4096: white space is one symbol, all digits another."""
     kind = A.kinds()[codes]
-    out = np.where(codes < 3072, codes, 3072 + (codes * np.uint32(2654435761) >> np.uint32(22))).astype(A.U64)
+    out = np.where(codes < 3072, codes, 3072 + (codes & np.uint32(1023))).astype(A.U64)
     out[(kind == A.SPACE) | (kind == A.NEWLINE)] = 32
     out[kind == A.DIGIT] = 48
     return out
@@ -95,10 +98,16 @@ class Model:
 
     def __init__(self, probability: dict[int, DataFrame], backoff: dict[int, DataFrame], unseen: float, entries: int):
         self.probability, self.backoff, self.unseen, self.entries = probability, backoff, unseen, entries
+        self._shared = None
 
-    def discard(self) -> None:
-        for t in (*self.probability.values(), *self.backoff.values()):
-            discard(t)
+    def tables(self) -> list[DataFrame]:
+        return [*self.probability.values(), *self.backoff.values()]
+
+    def shared(self):
+        """The model in memory, broadcast once."""
+        if self._shared is None:
+            self._shared = self.probability[1].sparkSession.sparkContext.broadcast(Lookup(self))
+        return self._shared
 
 
 def train(trusted: DataFrame) -> Model:
@@ -144,7 +153,7 @@ class Lookup:
 
     def __init__(self, model: Model):
         def load(df: DataFrame, value: str):
-            got = df.select("key", F.col(value).cast("float")).toArrow()
+            got = df.select("key", value).toArrow()
             return A.HashIndex(got.column(0).to_numpy().view(A.U64)), got.column(1).to_numpy()
 
         self.p = {n: load(model.probability[n], "lp") for n in range(1, ORDER + 1)}
@@ -152,37 +161,40 @@ class Lookup:
         self.unseen = model.unseen
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(key), np.float32)
+        out = np.full(len(key), self.unseen)
         rest = np.arange(len(key))
+        missed = []
         for n in range(ORDER, 0, -1):
             k = key[rest] & A.U64((1 << BITS * n) - 1)
             index, lp = self.p[n]
             at = index.find(k)
             hit = at >= 0
-            out[rest[hit]] += lp[at[hit]]
+            out[rest[hit]] = lp[at[hit]]
             rest, k = rest[~hit], k[~hit]
             if n > 1 and len(rest):
                 index, lg = self.b[n]
                 at = index.find(k >> A.U64(BITS))
                 ok = at >= 0
-                out[rest[ok]] += lg[at[ok]]
-        out[rest] += self.unseen
+                missed.append((rest[ok], lg[at[ok]]))
+        for rows, lg in reversed(missed):  # lower orders first, as the joins add them
+            out[rows] = lg + out[rows]
         return out
 
 
 def _sums(codes: np.ndarray, offsets: np.ndarray, lookup) -> np.ndarray:
-    """Negative log-probability of each text."""
-    key, where = np.unique(grams(codes, offsets), return_inverse=True)
-    lp = lookup(key)[where]
-    total = np.zeros(len(lp) + 1)
-    np.cumsum(lp, out=total[1:], dtype=np.float64)
-    return total[offsets[:-1]] - total[offsets[1:]]
+    """Negative log-probability of each text; the sum of a text does not depend on those beside it."""
+    out = np.zeros(len(offsets) - 1)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        key, where = np.unique(grams(codes, offsets), return_inverse=True)
+        out[some] = -np.add.reduceat(lookup(key)[where], offsets[:-1][some])
+    return out
 
 
 def _broadcast(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
     schema, names = extended(docs, {"nll": T.DoubleType(), "chars": T.LongType()})
     at = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(Lookup(model))
+    shared = model.shared()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +212,7 @@ def _joined(docs: DataFrame, model: Model, block_chars: int) -> tuple[DataFrame,
     blocks = size // block_chars + 1
     _, own = extended(docs, {"block": T.LongType()})
     block = own["block"]
-    laid = docs.withColumn(block, F.pmod(F.xxhash64("text"), F.lit(blocks))).repartition(block)
+    laid = docs.withColumn(block, F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(blocks))).repartition(block)
     at, mine = laid.columns.index("text"), laid.columns.index(block)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,53 +258,59 @@ def perplexity(docs: DataFrame, model: Model, broadcast_entries: int = BROADCAST
     return _joined(docs, model, block_chars)
 
 
-def classify(docs: DataFrame, trusted: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> tuple[DataFrame, str, str]:
+def classify(docs: DataFrame, trusted: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES, quantile: float = QUANTILE, slack: float = SLACK) -> tuple[DataFrame, str, str]:
     """``docs`` with the score, a boolean whether it is kept, and the names of these columns.
 
-    ``trusted`` has rows of the same kind (text, lang); the limits are quantiles of their scores.
+    ``trusted`` has rows of the same kind (text, lang); the limits come from quantiles of their scores.
     """
+    with scope():
+        return _classify(docs, trusted, broadcast_entries, quantile, slack)
+
+
+def _classify(docs: DataFrame, trusted: DataFrame, broadcast_entries: int, quantile: float, slack: float) -> tuple[DataFrame, str, str]:
     trusted = trusted.select(column_of(trusted, "text", "string"), column_of(trusted, "lang", "string"))
     fold = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT))
     model = train(trusted.where(fold != 0))
+    if model.entries > broadcast_entries:  # the joins of the result read the tables
+        for t in model.tables():
+            kept(t)
     seen, nll, chars = perplexity(trusted.where(fold == 0), model, broadcast_entries)
     seen = staged(seen.where(F.col(chars) > 0).select(F.coalesce("lang", F.lit("")).alias("lang"), F.col(nll).alias("nll"), F.col(chars).alias("chars")))
-    means = {r["lang"]: r["m"] for r in seen.groupBy("lang").agg((F.sum("nll") / F.sum("chars")).alias("m")).collect()}
+    each = seen.groupBy("lang").agg((F.sum("nll") / F.sum("chars")).alias("mean"))
     every = seen.agg(F.sum("nll") / F.sum("chars")).first()[0] or 0.0
+    value = lambda mean, nll, chars: F.round((nll + PRIOR * mean) / (chars + PRIOR), 9)
 
-    def value(lang, nll, chars):
-        mean = F.lit(every)
-        if means:
-            mean = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in means.items() for x in kv]), lang), mean)
-        return (nll + PRIOR * mean) / (chars + PRIOR)
-
-    own = seen.select("lang", value(F.col("lang"), F.col("nll"), F.col("chars")).alias("s"))
+    own = staged(seen.join(each, "lang").select("lang", "mean", value(F.col("mean"), F.col("nll"), F.col("chars")).alias("s")))
     at = lambda q: F.percentile_approx("s", q, 10000)
-    middle = own.groupBy("lang").agg(at(0.5).alias("m"), at(QUANTILE).alias("q"))
-    away = own.join(middle, "lang").select((F.col("s") - F.col("m")).alias("s")).agg(at(QUANTILE).alias("q")).first()["q"]
-    limit = {r["lang"]: r["m"] + SLACK * max(r["q"] - r["m"], away) for r in middle.collect()}
-    other = max(limit.values(), default=float("inf"))
-    discard(seen)
+    middle = own.groupBy("lang").agg(F.first("mean").alias("mean"), at(0.5).alias("m"), at(quantile).alias("q"))
+    away = own.join(middle.drop("mean"), "lang").select((F.col("s") - F.col("m")).alias("s")).agg(at(quantile).alias("q")).first()["q"]
+    top = F.col("m") + slack * F.greatest(F.col("q") - F.col("m"), F.lit(away))
+    limits = kept(staged(middle.select("lang", "mean", top.alias("top"))))
+    known = limits.agg(F.count("*").alias("n"), F.max("top").alias("top")).first()
 
     out, nll, chars = perplexity(docs, model, broadcast_entries)
+    lang, mean, top = (spare(n, out) for n in ("limit_lang", "limit_mean", "limit_top"))
+    side = limits.select(F.col("lang").alias(lang), F.col("mean").alias(mean), F.col("top").alias(top))
+    side = F.broadcast(side) if known["n"] <= BROADCAST_LANGUAGES else side
+    own = F.coalesce(out["lang"].cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    out = out.join(side, own == side[lang], "left")
     schema, names = extended(out, {"lm_score": T.DoubleType(), "kept": T.BooleanType()})
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    top = F.lit(other)
-    if limit:
-        top = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in limit.items() for x in kv]), lang), top)
-    out = out.withColumn(names["lm_score"], F.when(F.col(chars) > 0, value(lang, F.col(nll), F.col(chars))))
-    out = out.withColumn(names["kept"], F.coalesce(F.col(names["lm_score"]) <= top, F.lit(False))).drop(nll, chars)
-    return out, names["lm_score"], names["kept"]
+    score = value(F.coalesce(F.col(mean), F.lit(every)), F.col(nll), F.col(chars))
+    out = out.withColumn(names["lm_score"], F.when(F.col(chars) > 0, score))
+    most = F.coalesce(F.col(top), F.lit(float("inf") if known["top"] is None else known["top"]))
+    out = out.withColumn(names["kept"], F.coalesce(F.col(names["lm_score"]) <= most, F.lit(False)))
+    return out.drop(nll, chars, lang, mean, top), names["lm_score"], names["kept"]
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are labelled as of good quality; every such row, text and language."""
-    good = labels.select(column_of(labels, "doc_id", "bigint").alias("good__"), column_of(labels, "quality", "int").alias("q__"))
-    good = good.where("q__ = 1").select("good__").distinct()
+    good = labels.select(column_of(labels, "doc_id", "bigint").alias("good"), column_of(labels, "quality", "int").alias("q"))
+    good = good.where("q = 1").select("good").distinct()
     text = docs.select(column_of(docs, "doc_id", "bigint"), column_of(docs, "text", "string"), column_of(docs, "lang", "string"))
-    return text.join(id_side(good), F.col("doc_id") == F.col("good__"), "left_semi")
+    return text.join(id_side(good), F.col("doc_id") == F.col("good"), "left_semi")
 
 
 def keep(docs: DataFrame, labels: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """``docs`` without the rejected rows; columns as they were."""
-    out, score, kept = classify(docs, trusted_rows(docs, labels), broadcast_entries)
-    return out.where(F.col(kept)).drop(score, kept)
+    out, score, good = classify(docs, trusted_rows(docs, labels), broadcast_entries)
+    return out.where(F.col(good)).drop(score, good)
