@@ -31,8 +31,9 @@ from .tables import extended
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Distinct words whose ids a worker remembers between runs of texts; beyond, it forgets them and goes on.
+#: Distinct words, and characters of them, whose ids a worker remembers between runs of texts; beyond, it forgets them and goes on.
 REMEMBERED = 300_000
+REMEMBERED_CHARS = 8_000_000
 #: Bytes of text of which the distinct words share one trie.
 RUN_BYTES = 6_000_000
 _FAR = 1 << 40
@@ -76,6 +77,7 @@ class Encoder:
         self.nodes: dict[str, tuple] = {}
         self.apart: dict[str, dict[str, bool]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.chars = 0
         self.table: dict[str, tuple[int, ...]] = {}
         table = []
         for i, p in enumerate(self.pieces):
@@ -202,15 +204,17 @@ class Encoder:
         plain.sort()
         table = self.table
         for w, last in (self._merge_states if self.merges else self._score_states)(plain):
-            e, got = len(w), ()
+            e, got = len(w), []
             while e:
                 p = last[e]
                 i = table.get(p)
                 if i is None:
                     i = table[p] = self._id(p)
-                got = i + got
+                got.append(i)
                 e -= len(p)
-            known[w] = got
+            got.reverse()
+            known[w] = tuple(chain.from_iterable(got))
+            self.chars += len(w)
         lone = ids.get(MARK)
         for w, word in marked.items():
             extra = len(w) - len(word)
@@ -236,8 +240,9 @@ class Encoder:
         try:
             split = [_SPLIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
             distinct = set().union(*split)
-            if len(self.known) > REMEMBERED:
+            if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
                 self.known.clear()
+                self.chars = 0
             self.learn(distinct)
             known = self.known.__getitem__
             return [np.fromiter(chain.from_iterable(map(known, words)), np.int32) for words in split]
@@ -250,14 +255,53 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def load(path: str = MODEL, merges: bool = True) -> Encoder:
-    """The pieces of a model file; nothing of it is copied elsewhere."""
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(field, value) of a serialised message: numbers, and the bytes of what has a length."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(raw):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, number()
+            continue
+        size = number() if kind == 2 else 8 if kind == 1 else 4
+        yield tag >> 3, raw[at : at + size]
+        at += size
+
+
+def is_merges(raw: bytes) -> bool:
+    """Whether a serialised model is of merges (type 2) rather than of unigram scores (type 1, also where none is given)."""
+    kind = 1
+    for field, trainer in _fields(raw):
+        if field == 2:
+            kind = next((v for f, v in _fields(trainer) if f == 3), kind)
+    if kind not in (1, 2):
+        raise ValueError("only unigram and merge models can be read")
+    return kind == 2
+
+
+def load(path: str = MODEL) -> Encoder:
+    """The pieces of a model file, of merges or unigram scores as the file says; nothing of it is copied elsewhere."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        raw = f.read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
     n = sp.get_piece_size()
     special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
-    return Encoder([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], special, sp.unk_id(), merges)
+    return Encoder([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], special, sp.unk_id(), is_merges(raw))
 
 
 def encode(docs: DataFrame, path: str = MODEL, check: bool = False) -> tuple[DataFrame, dict[str, str]]:
