@@ -1,17 +1,21 @@
 """WARC files, index first: write offset, length, URL and digest per record, then read selected records by ranges.
 
 Every record is a gzip member of its own. Tasks write files into the cluster's shared folder under a name that no
-other attempt has, and the rows that name them are committed as a table; a file of a lost attempt is named nowhere
-and never read. The index is made by reading the files; a selection of it is sorted by file and offset, ranges that
-touch or lie at most ``GAP`` bytes apart become one read, and one pass yields the records.
+other attempt has; the index rows of what they wrote are committed as a table, so a file of a lost attempt is named
+nowhere and never read. Archives of others, compressed by record or not at all, are indexed by reading them once. A
+selection of an index is sorted by file and offset, ranges that touch or lie at most ``GAP`` bytes apart become one
+read, and one pass yields the records.
 
 Defined results: a null page is a record without content, a null URL a record without that header, and both come
 back as nulls; repeated rows are records of their own; an empty table gives no records; other columns are not
-written, whatever their names.
+written, whatever their names. Digests in sha256, sha1 or md5, hexadecimal or base32, are verified and an error if they
+differ; others are passed on. Of an HTTP response the content is given, without its transfer and content coding;
+bytes that are no UTF-8 become replacement characters.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import uuid
@@ -33,58 +37,120 @@ TASK_BYTES = 16_000_000
 INDEX = "file string, offset bigint, length bigint, page_id bigint, url string, digest string"
 
 
+#: Names of file systems that Hadoop and Arrow call differently.
+_SCHEMES = (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/"))
+
+
+def arrow_uri(uri: str) -> str:
+    for theirs, ours in _SCHEMES:
+        if uri.startswith(theirs):
+            return ours + uri[len(theirs) :].lstrip("/")
+    return uri
+
+
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
-def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
-    """One resource record, compressed as a gzip member."""
+def record(page_id: int | None, url: str | None, html: str | None) -> tuple[bytes, str | None, str | None]:
+    """One resource record, compressed as a gzip member, with its digest and the URL as the record has it."""
     body = (html or "").encode("utf-8", "surrogatepass")
+    digest = None if html is None else hashlib.sha256(body).hexdigest()
+    url = None if url is None else url.translate({10: "%0A", 13: "%0D"}).strip()
     lines = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
-    lines += [f"WARC-Target-URI: {url.translate({10: '%0A', 13: '%0D'})}"] if url is not None else []
+    lines += [f"WARC-Target-URI: {url}"] if url is not None else []
     lines += [f"WARC-Page-ID: {page_id}"] if page_id is not None else []
-    lines += [f"WARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}"] if html is not None else []
+    lines += [f"WARC-Payload-Digest: sha256:{digest}"] if digest else []
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
-    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 4, mtime=0)
+    return gzip.compress("\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n", 4, mtime=0), digest, url
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """(headers, body) of an uncompressed record."""
+    """(headers with names in lower case, body) of an uncompressed record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a record")
-    headers = dict(line.split(": ", 1) for line in lines[1:])
-    return headers, rest[: int(headers["Content-Length"])]
+    headers = {}
+    for line in lines[1:]:
+        name, _, value = line.partition(":")
+        headers[name.strip().lower()] = value.strip()
+    return headers, rest[: int(headers.get("content-length", 0))]
+
+
+def same_digest(digest: str, body: bytes) -> bool:
+    """Whether ``body`` has that digest (name:value); true for names that are not known."""
+    name, _, value = digest.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("sha256", "sha1", "md5"):
+        return True
+    own = hashlib.new(name, body)
+    return value.lower() == own.hexdigest() or value.upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
+
+
+def payload(headers: dict[str, str], body: bytes) -> tuple[bytes, bytes]:
+    """(payload as the digest counts it, content without codings) of a record's body."""
+    if not headers.get("content-type", "").startswith("application/http"):
+        return body, body
+    head, _, rest = body.partition(b"\r\n\r\n")
+    fields = {a.strip().lower(): b.strip().lower() for a, _, b in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
+    content = rest
+    try:
+        if "chunked" in fields.get("transfer-encoding", ""):
+            parts, at = [], 0
+            while True:
+                end = content.index(b"\r\n", at)
+                size = int(content[at:end].split(b";")[0], 16)
+                if not size:
+                    break
+                parts.append(content[end + 2 : end + 2 + size])
+                at = end + 4 + size
+            content = b"".join(parts)
+        if fields.get("content-encoding") in ("gzip", "x-gzip", "deflate"):
+            content = zlib.decompress(content, 47)
+    except (ValueError, zlib.error):  # the archive has undone the coding and kept the header
+        pass
+    return rest, content
 
 
 def write(pages: DataFrame) -> DataFrame:
-    """(file, records, bytes): the files that now hold all rows of ``pages`` (page_id, url, html)."""
+    """INDEX of the files that now hold all rows of ``pages`` (page_id, url, html); staged."""
     base = f"{shared_dir(pages.sparkSession)}/warc/{uuid.uuid4().hex}"
     rows = pages.select(column_of(pages, "page_id", "bigint"), column_of(pages, "url", "string"), column_of(pages, "html", "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out, n, size = f"{base}/{uuid.uuid4().hex}.warc.gz", None, 0, 0
+        name, out, size = f"{base}/{uuid.uuid4().hex}.warc.gz", None, 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            found = []
+            for page, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     where, path = _place(name)
                     where.create_dir(path.rpartition("/")[0], recursive=True)
                     out = where.open_output_stream(path, compression=None)
-                raw = record(*row)
+                raw, digest, told = record(page, url, html)
                 out.write(raw)
-                n, size = n + 1, size + len(raw)
+                found.append((name, size, len(raw), page, told, digest))
+                size += len(raw)
+            yield _index_rows(found)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "records": [n], "bytes": [size]})
 
-    return staged(rows.mapInArrow(run, "file string, records bigint, bytes bigint"))
+    return staged(rows.mapInArrow(run, INDEX))
+
+
+def _index_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+    return pa.RecordBatch.from_arrays(cols, names=["file", "offset", "length", "page_id", "url", "digest"])
 
 
 def members(source, chunk: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of each gzip member of a stream, read chunk by chunk."""
+    """(offset, length, content) of each gzip member of a stream, or of each record of one that is not compressed."""
     at = 0
     data = source.read(chunk)
+    if data[:5] == b"WARC/":
+        yield from _plain(source, data, chunk)
+        return
     while data:
         d, parts, used = zlib.decompressobj(31), [], 0
         while not d.eof:
@@ -98,6 +164,32 @@ def members(source, chunk: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
         data = data or source.read(chunk)
 
 
+def _plain(source, data: bytes, chunk: int) -> Iterator[tuple[int, int, bytes]]:
+    at = 0
+    while data.strip(b"\r\n"):
+        while (head := data.find(b"\r\n\r\n")) < 0:
+            more = source.read(chunk)
+            if not more:
+                raise EOFError("a record is cut short")
+            data += more
+        size = int(parse(data[: head + 4])[0].get("content-length", 0))
+        need = head + 4 + size + 4
+        parts, have = [data], len(data)
+        while have < need and (more := source.read(max(chunk, need - have))):
+            parts.append(more)
+            have += len(more)
+        data = b"".join(parts)
+        if have < need - 4:
+            raise EOFError("a record is cut short")
+        yield at, min(need, have), data[:need]
+        at, data = at + need, data[need:] or source.read(chunk)
+
+
+def _page_id(headers: dict[str, str]) -> int | None:
+    page = headers.get("warc-page-id", "")
+    return int(page) if page.lstrip("-").isdecimal() else None
+
+
 def index(files: DataFrame) -> DataFrame:
     """INDEX for all records of the files that the column ``file`` names; made from the files alone, staged."""
 
@@ -109,10 +201,11 @@ def index(files: DataFrame) -> DataFrame:
                 with where.open_input_stream(path, compression=None) as source:
                     for offset, length, raw in members(source):
                         h, _ = parse(raw)
-                        page = h.get("WARC-Page-ID")
-                        rows.append((name, offset, length, None if page is None else int(page), h.get("WARC-Target-URI"), h.get("WARC-Payload-Digest", ":").partition(":")[2] or None))
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["file", "offset", "length", "page_id", "url", "digest"])
+                        rows.append((name, offset, length, _page_id(h), h.get("warc-target-uri"), h.get("warc-payload-digest", ":").partition(":")[2] or None))
+                        if len(rows) == 10_000:
+                            yield _index_rows(rows)
+                            rows = []
+                yield _index_rows(rows)
 
     n = max(1, files.count())
     spread = files.select("file").repartition(min(n, 10_000), "file")
@@ -154,11 +247,14 @@ def read(selected: DataFrame) -> DataFrame:
                         data = memoryview(source.read_at(size, start))
                         got = []
                         for offset, length in spans[lo + i : lo + j]:
-                            h, body = parse(gzip.decompress(data[offset - start : offset - start + length]))
-                            digest, page = h.get("WARC-Payload-Digest"), h.get("WARC-Page-ID")
-                            if digest is not None and digest != f"sha256:{hashlib.sha256(body).hexdigest()}":
+                            raw = bytes(data[offset - start : offset - start + length])
+                            h, body = parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+                            digest = h.get("warc-payload-digest")
+                            counted, content = payload(h, body)
+                            if digest is not None and not same_digest(digest, counted) and not same_digest(digest, content):
                                 raise ValueError(f"digest of the record at {offset} of {names[lo]} differs")
-                            got.append((None if page is None else int(page), h.get("WARC-Target-URI"), digest and digest.partition(":")[2], None if digest is None else body.decode("utf-8", "surrogatepass")))
+                            empty = digest is None and not content
+                            got.append((_page_id(h), h.get("warc-target-uri"), digest and digest.partition(":")[2], None if empty else content.decode("utf-8", "replace")))
                         cols = zip(*got)
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string()))], names=["page_id", "url", "digest", "html"])
                 lo = hi
@@ -175,7 +271,7 @@ def first_of_each(found: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """``pages`` written, indexed, reduced to one record per digest and read back."""
-    return read(staged(first_of_each(index(write(pages)))))
+    return read(staged(first_of_each(write(pages))))
 
 
 SQL = """
