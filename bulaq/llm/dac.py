@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -119,23 +119,38 @@ class Code:
         return out
 
 
-@lru_cache(2)
-def encoding(path: str = VOCABULARY):
-    """Byte-level BPE of a file of ranks."""
-    import tiktoken
+class Vocabulary:
+    """Byte-level BPE of a file of ranks; the driver reads the file, a worker gets the ranks and makes its own encoder of them."""
+
+    def __init__(self, path: str = VOCABULARY):
+        with open(path, "rb") as lines:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+    def __getstate__(self):
+        return self.ranks
+
+    def __setstate__(self, ranks):
+        self.ranks = ranks
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    @cached_property
+    def encoding(self):
+        import tiktoken
+
+        return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+
+
+def encoding(path: str = VOCABULARY):
+    return Vocabulary(path).encoding
 
 
 def tokenize(docs: DataFrame, path: str = VOCABULARY, bits: int = BITS) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with ``n_tokens`` and the ``code`` of the text's token ids, and the names of those columns."""
     schema, names = extended(docs, {"n_tokens": T.LongType(), "code": T.BinaryType()})
     at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = shared.value.encoding.encode_ordinary
         for batch in batches:
             text = A.as_text(batch.column(at))
             null = batch.column(at).is_null().to_numpy(zero_copy_only=False)
