@@ -3,7 +3,8 @@
 The patterns are all runs of ``window`` folded words of the benchmark items (an item with fewer words is one
 pattern). A shift table over blocks of the text skips positions at which no pattern can end, the hash of a
 pattern's suffix selects a bucket of test strings where the shift is 0, and comparison of every symbol confirms.
-Many cursors scan a batch at once, each over its own stretch, so that the scan is array arithmetic.
+Many cursors scan a batch at once, each over its own stretch, so that the scan is array arithmetic. Patterns shorter
+than ``SHORT`` symbols have tables of their own, so that a short item does not shorten the shifts of all others.
 
 Texts are compared as lower-cased runs of letters and digits with one separator between words; matches begin and
 end at words and never cross a text. Defined results: null or empty texts and items match nothing; a null id stays
@@ -27,6 +28,7 @@ from .tables import column_of, extended
 WINDOW = 8
 #: Symbols of benchmark text that one broadcast automaton may hold; more items are searched in several passes.
 AUTOMATON_SYMBOLS = 20_000_000
+SHORT = 24
 BOUNDARY = 1
 
 
@@ -146,6 +148,20 @@ class WuManber:
         return pos, pat
 
 
+class Machine:
+    """The tables of the short patterns and those of the others; ``items`` has the item of each pattern of both."""
+
+    def __init__(self, pats: list[np.ndarray], items: list[int]):
+        short = [i for i, p in enumerate(pats) if len(p) < SHORT]
+        long = [i for i, p in enumerate(pats) if len(p) >= SHORT]
+        self.parts = [(WuManber([pats[i] for i in of], [items[i] for i in of]), np.array(of, np.int64)) for of in (short, long) if of]
+        self.items = np.array(items, np.int64)
+
+    def search(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = [(pos, of[pat]) for wm, of in self.parts for pos, pat in [wm.search(symbols)]]
+        return (np.concatenate([p for p, _ in got]), np.concatenate([p for _, p in got])) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _automata(benchmark: DataFrame, window: int, most: int):
     """One automaton for each part of the benchmark of at most about ``most`` symbols."""
     items = benchmark.select(column_of(benchmark, "item_id", "bigint"), column_of(benchmark, "text", "string"))
@@ -159,10 +175,10 @@ def _automata(benchmark: DataFrame, window: int, most: int):
                 pats.append(p)
                 owner.append(len(ids))
             ids.append(row["item_id"])
-        yield WuManber(pats, owner), ids
+        yield Machine(pats, owner), ids
 
 
-def _hits(machine: WuManber, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hits(machine: Machine, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, item, distinct patterns of the item found) for all texts and items with a match."""
     symbols, boundary = stream(codes, offsets)
     pos, pat = machine.search(symbols)
@@ -198,7 +214,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automat
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_symbols: int = AUTOMATON_SYMBOLS) -> DataFrame:
     """``docs`` without the rows whose text holds a pattern of any item; columns as they were."""
     for machine, _ in _automata(benchmark, window, automaton_symbols):
-        schema, names = extended(docs, {"clean__": T.BooleanType()})
+        schema, names = extended(docs, {"clean": T.BooleanType()})
         shared = docs.sparkSession.sparkContext.broadcast(machine)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, schema=schema) -> Iterator[pa.RecordBatch]:
@@ -208,7 +224,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, a
                     clean[lo + _hits(shared.value, codes, offsets)[0]] = False
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(clean)], names=schema.fieldNames())
 
-        docs = docs.mapInArrow(run, schema).where(F.col(names["clean__"])).drop(names["clean__"])
+        docs = docs.mapInArrow(run, schema).where(F.col(names["clean"])).drop(names["clean"])
     return docs
 
 
