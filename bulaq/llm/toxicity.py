@@ -151,7 +151,7 @@ def features(codes: np.ndarray, offsets: np.ndarray, mined: tuple | None = None)
     np.cumsum(inner, out=count[1:])
     mixed = count[e2] - count[s2] > 0
     np.cumsum(letter, out=count[1:])
-    mixed &= (count[e2] - count[s2] >= 2) & (e2 - s2 <= 40)
+    mixed &= count[e2] - count[s2] >= 2
     s2, e2 = s2[mixed], e2[mixed]
     found = np.zeros(0, np.int64)
     d2 = np.searchsorted(offsets, s2, side="right") - 1
