@@ -142,6 +142,15 @@ def sentences(c: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+_DIGITS = [c for c in map(chr, range(0x110000)) if unicodedata.decimal(c, None) is not None and c not in "0123456789"]
+
+
+def whole_number(c: Column) -> Column:
+    """Decimal digits of any script as BIGINT; null where there are none or too many."""
+    plain = F.translate(c, "".join(_DIGITS), "".join(str(unicodedata.decimal(d)) for d in _DIGITS))
+    return plain.try_cast("bigint")
+
+
 _MONTHS = ["yanvar", "fevral", "mart", "aprel", "may", "iyun", "iyul", "avqust", "sentyabr", "oktyabr", "noyabr", "dekabr"]
 MONTHS = "|".join(_MONTHS)
 _MONTH_ANY = "|".join(m.replace("i", "[iİıI]") for m in _MONTHS)
@@ -153,7 +162,7 @@ def extract_date(c: Column, default_year: int | None = None) -> Column:
     num = r"(?U)\b(\d{1,2})[./](\d{1,2})[./](\d{4})\b"
     text = rf"(?Uiu)\b(\d{{1,2}})\s+({_MONTH_ANY})\s*(\d{{4}})?"
     part = lambda p, i: F.regexp_extract(c, p, i)
-    number = lambda x: F.when(x != "", x).cast("int")
+    number = whole_number
     d, m, y = (number(part(num, i)) for i in (1, 2, 3))
     by_number = F.when(m.between(1, 12) & d.between(1, 31), F.format_string("%04d-%02d-%02d", y, m, d))
     d2 = number(part(text, 1))

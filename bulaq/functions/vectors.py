@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 def doubles(v: Column) -> Column:
@@ -50,6 +51,13 @@ def ndcg(retrieved: Column, relevant: Column, k: int) -> Column:
     return F.when(n > 0, F.aggregate(got, F.lit(0.0), lambda s, x: s + x) / best).otherwise(F.lit(0.0))
 
 
-def upper_median(c: Column) -> Column:
-    """Aggregate: the element at position n // 2 of the sorted values."""
-    return F.get(F.sort_array(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int"))
+def upper_median(df: DataFrame, group: str, value: str, name: str = "p50") -> DataFrame:
+    """(group, name): the element at position n // 2 of each group's sorted values, from counts of equal values.
+
+    Values are counted before anything is shuffled by group, and a running count finds the middle; no group is held whole.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    w = W.partitionBy(group).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ran = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(W.partitionBy(group)))
+    middle = F.floor(F.col("_all") / 2)
+    return ran.where((F.col("_upto") > middle) & (F.col("_upto") - F.col("_n") <= middle)).select(group, F.col(value).alias(name))

@@ -11,6 +11,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,18 +31,22 @@ class Embedder:
     def vectors(self, texts: list[str], query: bool = False) -> list[list[float]]:
         raise NotImplementedError
 
-    def _column(self, c: Column, query: bool) -> Column:
+    def _column(self, c: Column, query: bool, batch_size: int | None = None) -> Column:
         me = self
 
         @F.pandas_udf("array<double>")
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in parts:
-                yield pd.Series(me.vectors(s.fillna("").tolist(), query), index=s.index)
+                texts = s.fillna("").tolist()
+                size = batch_size or max(1, len(texts))
+                out = [v for i in range(0, len(texts), size) for v in me.vectors(texts[i : i + size], query)]
+                yield pd.Series(out, index=s.index, dtype=object)
 
         return run(c)
 
-    def documents(self, c: Column) -> Column:
-        return self._column(c, False)
+    def documents(self, c: Column, batch_size: int | None = None) -> Column:
+        """Vectors of texts; so many are handed to the model at once (all of an Arrow batch if not given)."""
+        return self._column(c, False, batch_size)
 
     def query(self, c: Column) -> Column:
         return self._column(c, True)
@@ -58,25 +63,48 @@ class Hashed(Embedder):
     def __init__(self, dim: int = 256):
         self.dim, self.name, self._of = dim, f"hashed-{dim}", {}
 
-    def _gram(self, g: str) -> tuple[int, float]:
-        got = self._of.get(g)
-        if got is None:
-            d = hashlib.blake2b(g.encode(), digest_size=8).digest()
-            if len(self._of) > 500_000:
-                self._of.clear()
-            got = self._of[g] = (int.from_bytes(d[:4], "little") % self.dim, 1.0 if d[4] & 1 else -1.0)
-        return got
+    def __getstate__(self):
+        return self.__dict__ | {"_of": {}}
+
+    def _place(self, gram: bytes) -> int:
+        """Bucket of a gram, with the sign in the lowest bit."""
+        d = hashlib.blake2b(gram, digest_size=8).digest()
+        return int.from_bytes(d[:4], "little") % self.dim * 2 + (d[4] & 1)
 
     def vectors(self, texts: list[str], query: bool = False) -> list[list[float]]:
-        out = []
-        for t in texts:
-            t, v = f" {X.az_lower(t)} ", [0.0] * self.dim
-            for n in (3, 4, 5):
-                for i in range(len(t) - n + 1):
-                    at, sign = self._gram(t[i : i + n])
-                    v[at] += sign
-            out.append(unit([math.copysign(math.log1p(abs(x)), x) for x in v]))
-        return out
+        """All grams of the texts are counted as arrays; only distinct ones that are new to this worker are hashed."""
+        texts = [f" {X.az_lower(t)} " for t in texts]
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array([len(t) for t in texts], np.int64)
+        end = np.cumsum(size)
+        text = np.repeat(np.arange(len(texts)), size)
+        total = np.zeros(len(texts) * self.dim)
+        if len(self._of) > 500_000:
+            self._of.clear()
+        left = end[text] - np.arange(len(codes))  # characters from here to the end of the text
+        for n in (3, 4, 5):
+            at = np.flatnonzero(left >= n)
+            if not len(at):
+                continue
+            # 21 bits a character: three in one word, the other ones in a second
+            low = codes[at].astype(np.uint64) | codes[at + 1].astype(np.uint64) << np.uint64(21) | codes[at + 2].astype(np.uint64) << np.uint64(42)
+            high = np.full(len(at), n, np.uint64) << np.uint64(50)
+            for i in range(3, n):
+                high |= codes[at + i].astype(np.uint64) << np.uint64(21 * (i - 3))
+            order = np.lexsort((low, high))
+            low, high = low[order], high[order]
+            first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+            places = np.empty(len(first), np.int64)
+            for j, (key, i) in enumerate(zip(zip(low[first].tolist(), high[first].tolist()), at[order[first]].tolist())):
+                got = self._of.get(key)
+                if got is None:
+                    got = self._of[key] = self._place(codes[i : i + n].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"))
+                places[j] = got
+            place = np.repeat(places, np.diff(np.append(first, len(low))))
+            total += np.bincount(text[at[order]] * self.dim + (place >> 1), np.where(place & 1, 1.0, -1.0), len(total))
+        v = (np.sign(total) * np.log1p(np.abs(total))).reshape(len(texts), self.dim)
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        return list(v / np.where(norm > 0, norm, 1.0))
 
 
 def hashed_md5(df: DataFrame, key: str, text: str, dim: int = 256, n: int = 3) -> DataFrame:
@@ -107,7 +135,7 @@ class Rest(Embedder):
             raise ValueError(f"set {self.key_name} or give api_key")
 
     def body(self, texts: list[str], query: bool) -> dict:
-        return {"model": self.model, "input": texts}
+        return {"model": self.model, "input": texts, "dimensions": self.dim, "encoding_format": "float"}
 
     def parse(self, got: dict) -> list[list[float]]:
         return [d["embedding"] for d in sorted(got["data"], key=lambda d: d["index"])]

@@ -17,12 +17,12 @@ def embedding_text(text: Column, *parts: Column) -> Column:
 def enrich(chunks: DataFrame, header: bool = True, default_year: int | None = None) -> DataFrame:
     """Chunks that carry the document columns ``title``, ``date``, ``extra`` and ``doc_text``, where there are such.
 
-    What a chunk has already wins, but for doc_id, position and n_chunks. The count is a window on doc_id.
+    What a chunk has already wins, but for doc_id, position and n_chunks, which come from the chunker.
     """
     has = lambda c: F.col(c) if c in chunks.columns else F.lit(None).cast("string")
     empty = F.create_map().cast("map<string,string>")
     date = F.coalesce(F.nullif(has("date"), F.lit("")), X.extract_date(F.left(has("doc_text"), F.lit(500)), default_year))
-    out = chunks.withColumn("_n", F.expr("count(*) over (partition by doc_id)").cast("int")).withColumn("_date", date).withColumn("_title", F.nullif(has("title"), F.lit("")))
+    out = chunks.withColumn("_n", F.col("n_chunks").cast("int")).withColumn("_date", date).withColumn("_title", F.nullif(has("title"), F.lit("")))
     extra = F.coalesce(F.col("extra"), empty) if "extra" in chunks.columns else empty
     own = F.coalesce(F.col("mark_extra"), empty)
     merged = F.map_concat(F.map_filter(extra, lambda k, _: ~F.map_contains_key(own, k)), own)

@@ -1,8 +1,9 @@
-"""Retrieval quality: ranked hits and gold ids to reciprocal rank, recall and nDCG, overall and per domain, in one job."""
+"""Retrieval quality: ranked hits and gold ids to reciprocal rank, recall and nDCG, overall and per domain."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -24,6 +25,27 @@ def per_query(found: DataFrame, k: int = 5) -> DataFrame:
     return found.select("query_id", F.coalesce("domain", F.lit("unknown")).alias("domain"), V.reciprocal_rank(r, g).alias("rr"), V.recall(r, g, k).alias("recall"), V.ndcg(r, g, k).alias("ndcg"))
 
 
+def judged(hits: DataFrame, gold: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """What per_query(hit_ids(...)) gives, from gold ids in rows (query_id, relevant_id): for queries with very many of them.
+
+    ``queries`` has query_id and domain. No array of gold ids is built; hits meet their own gold rows in a join.
+    """
+    gold = gold.select("query_id", "relevant_id").distinct()
+    of = gold.groupBy("query_id").agg(F.count("*").alias("n"))
+    doc = F.coalesce(F.col("doc_id"), F.split_part("chunk_id", F.lit("::"), F.lit(1)))
+    by_chunk = gold.select("query_id", F.col("relevant_id").alias("chunk_id"), F.lit(True).alias("own"))
+    ids = hits.join(by_chunk, ["query_id", "chunk_id"], "left").select("query_id", "rank", F.when(F.col("own"), F.col("chunk_id")).otherwise(doc).alias("relevant_id"))
+    first = ids.groupBy("query_id", "relevant_id").agg(F.min("rank").alias("rank")).join(gold.withColumn("hit", F.lit(True)), ["query_id", "relevant_id"], "left")
+    place = first.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where("hit")
+    gain = lambda c: 1.0 / F.log2(c + 1.0)
+    within = F.col("place") <= k
+    each = place.groupBy("query_id").agg((1.0 / F.min("place")).alias("rr"), F.count_if(within).alias("got"), F.sum(F.when(within, gain(F.col("place")))).alias("gain"))
+    out = queries.select("query_id", F.coalesce("domain", F.lit("unknown")).alias("domain")).join(of, "query_id", "left").join(each, "query_id", "left")
+    best = F.aggregate(F.sequence(F.lit(1), F.least(F.coalesce("n", F.lit(1)), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + gain(i))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select("query_id", "domain", zero(F.col("rr")).alias("rr"), zero(F.col("got") / F.col("n")).alias("recall"), zero(F.col("gain") / best).alias("ndcg"))
+
+
 def summary(scores: DataFrame) -> DataFrame:
     """(domain, mrr, recall, ndcg, n): a row "all" and one per domain."""
     each = scores.groupingSets([[], ["domain"]], "domain").agg(
@@ -42,8 +64,9 @@ def report(scores: DataFrame, k: int = 5, config: dict | None = None, latencies:
 
 
 def markdown(rep: dict) -> str:
-    k = rep["k"]
-    out = [f"| domain | MRR | Recall@{k} | nDCG@{k} | n |", "|---|---|---|---|---|"]
+    k, p50 = rep["k"], rep.get("latency_ms_p50")
+    head = f"### Retrieval: {rep['config'].get('embedder', '?')}, k={k}, {rep['n_queries']} queries" + (f", p50 {p50:.1f} ms" if p50 is not None else "")
+    out = [head, "", f"| domain | MRR | Recall@{k} | nDCG@{k} | n |", "|---|---|---|---|---|"]
     for name, m in [("all", rep["aggregate"]), *sorted(rep["per_domain"].items())]:
         out.append(f"| {name} | {m['mrr']:.4f} | {m['recall']:.4f} | {m['ndcg']:.4f} | {m['n']} |")
     return "\n".join(out)

@@ -53,32 +53,32 @@ class Presenter:
         out += [f"[{meta['section_heading']}]"] if self.show_heading and meta.get("section_heading") else []
         return out + [f"{k}={meta[k]}" for k in self.metadata_fields if meta.get(k) is not None]
 
-    def format_result(self, r: dict, relevant: set[str]) -> str:
+    def format_result(self, r: dict, relevant: set[str]) -> list[str]:
+        """The lines of one hit; a subclass may lay it out otherwise."""
         width = max(map(len, (self.answer_label, self.hit_label, self.miss_label)))
-        line = "  ".join([f"{self.label(r, relevant):<{width}}", f"#{r['rank']}", *self.fields(r)])
+        head = f"  {self.label(r, relevant):<{width}} #{r['rank']}  {'  '.join(self.fields(r))}"
         text = self.text(r)
-        if not text:
-            return line
-        return f"{line}  {text}" if self.style == "compact" else f"{line}\n    {text}"
+        if self.style == "compact":
+            return [f"{head}  {text}" if text else head]
+        return [head, *([f"        {text}"] if text else [])]
 
     def _markdown(self, results: list[dict], relevant: set[str]) -> list[str]:
-        cols = [("", lambda r: self.label(r, relevant)), ("#", lambda r: str(r["rank"]))]
+        cols = [("", lambda r: self.label(r, relevant)), ("rank", lambda r: str(r["rank"]))]
         cols += [("score", lambda r: f"{r['score']:.4f}")] * self.show_score + [("doc", lambda r: r["doc_id"])] * self.show_doc_id + [("chunk", lambda r: r["chunk_id"])] * self.show_chunk_id
-        cols += [("heading", lambda r: (r.get("metadata") or {}).get("section_heading") or "")] * self.show_heading
         cols += [(k, lambda r, k=k: str((r.get("metadata") or {}).get(k, ""))) for k in self.metadata_fields]
         cols += [("text", lambda r: self.text(r).replace("|", "\\|"))] * (self.max_text_chars != 0)
-        rows = [[n for n, _ in cols], ["---"] * len(cols), *([f(r) for _, f in cols] for r in results)]
-        return [f"| {' | '.join(row)} |" for row in rows]
+        rows = [[n for n, _ in cols], *([f(r) for _, f in cols] for r in results)]
+        lines = [f"| {' | '.join(row)} |" for row in rows]
+        return [lines[0], "|" + "---|" * len(cols), *lines[1:]]
 
     def render(self, question: str, results: Iterable, relevant_ids: Iterable[str] = ()) -> str:
         rows = [r if isinstance(r, dict) else r.asDict(recursive=True) for r in results]
-        relevant = set(relevant_ids)
-        head = f"**{question}**\n" if self.style == "markdown" else f"SUAL: {question}"
-        body = self._markdown(rows, relevant) if self.style == "markdown" else [self.format_result(r, relevant) for r in rows]
-        return "\n".join([head, *body])
+        relevant = set(relevant_ids or ())
+        body = self._markdown(rows, relevant) if self.style == "markdown" else [line for r in rows for line in self.format_result(r, relevant)]
+        return "\n".join([*([f"Q: {question}"] if question else []), *body])
 
     def show(self, question: str, results: Iterable, relevant_ids: Iterable[str] = ()) -> None:
-        print(self.render(question, results, relevant_ids))
+        print("\n" + self.render(question, results, relevant_ids))
 
 
 def show_results(question: str, results: Iterable, relevant_ids: Iterable[str] = (), **options) -> None:

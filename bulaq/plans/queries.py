@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,9 +106,52 @@ def az_upper(spark, d):
     return _text(spark, d, X.upper(F.col("text")))
 
 
-@_query("SELECT doc_id, translate(translate(text, 'ae', 'ǝӘ'), 'ǝӘ', 'əƏ') AS text FROM documents")
+_ODD, _EVEN = "".join(X._REPAIR), "".join(X._REPAIR.values())
+_PLAIN = "aehtonirsdlucmgb"[: len(_ODD)]
+
+
+@_query("SELECT doc_id, translate(text, '{}', '{}') AS text FROM documents".format(_PLAIN, _EVEN.replace("'", "''")))
 def char_repair(spark, d):
-    return _text(spark, d, X.repair(F.translate("text", "ae", "ǝӘ")))
+    """Every repaired character, in place of the sixteen most frequent letters."""
+    return _text(spark, d, X.repair(F.translate("text", _PLAIN, _ODD)))
+
+
+def _sql_latin(c: str) -> str:
+    """SQL for letters of two that stand before an upper-case letter or not, then single ones, then signs without sound."""
+    for low, to in X._MULTI.items():
+        up = X.az_upper(low)
+        for _ in range(2):
+            c = f"regexp_replace({c}, '{up}(\\p{{Lu}})', '{X.az_upper(to)}\\1', 'g')"
+        c = f"replace(replace({c}, '{up}', '{X.az_upper(to[0]) + to[1:]}'), '{low}', '{to}')"
+    low, to = "".join(X._SINGLE), "".join(X._SINGLE.values())
+    return f"regexp_replace(translate({c}, '{low}{low.upper()}', '{to}{X.az_upper(to)}'), '[ъьЪЬ]', '', 'g')"
+
+
+_MIXED = ("aehtonirsdlucmgbfp", "ЮЯащёцЪьҒЩгЁжЦҹӨыӘ")
+
+
+@_query(f"SELECT doc_id, {_sql_latin(f"translate(text, '{_MIXED[0]}', '{_MIXED[1]}')")} AS text FROM documents")
+def translit_mixed(spark, d):
+    """Letters of two, upper case, signs that are dropped, all next to each other."""
+    return _text(spark, d, X.to_latin(F.translate("text", *_MIXED)))
+
+
+_SP = r"\t\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+@_query(rf"""SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(translate(regexp_replace(nfc_normalize(
+      replace(replace(text, 'e', 'e' || chr(769)), ' ', '  ' || chr(9))), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g'), '{_ODD.replace("'", "''")}', '{_EVEN.replace("'", "''")}'), '[ \t\f\x0B]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)),
+      lambda x: regexp_replace(x, '^[{_SP}]+|[{_SP}]+$', '', 'g')), chr(10)), '^[{_SP}\n]+|[{_SP}\n]+$', '', 'g') AS text FROM documents""")
+def normalize(spark, d):
+    """The whole normalizer, over texts with letters to compose and runs of blanks."""
+    t = F.replace(F.replace("text", F.lit("e"), F.lit("e\u0301")), F.lit(" "), F.lit("  \t"))
+    return _text(spark, d, X.Normalizer()(t))
+
+
+@_query(rf"SELECT doc_id, left(CASE WHEN s = '' THEN ' ' ELSE s END, 300) AS api, CASE WHEN length(t) > 60 THEN left(t, 59) || '…' ELSE t END AS short FROM (SELECT doc_id, regexp_replace(text, '^[{_SP}\n]+|[{_SP}\n]+$', '', 'g') AS s, regexp_replace(replace(text, chr(10), ' '), '^[{_SP}\n]+|[{_SP}\n]+$', '', 'g') AS t FROM documents)")
+def short_texts(spark, d):
+    t = F.col("text")
+    return _t(spark, d, "documents").select("doc_id", X.api_text(t, 300).alias("api"), X.truncate(t, 60).alias("short"))
 
 
 @_query(r"SELECT doc_id, regexp_replace(replace(replace(text, 'a', chr(1)), 'e', chr(127)), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g') AS text FROM documents")
@@ -165,7 +210,25 @@ _MARKS = """CASE o_orderkey % 7 WHEN 0 THEN 'Maddə ' || (o_orderkey % 50) || '.
 def classify_lines(spark, d):
     m = chunking.classify(F.expr(_MARKS), F.lit("general"))
     out = _t(spark, d, "orders").select("o_orderkey", m.alias("m"))
-    return out.select("o_orderkey", "m.marker_type", F.col("m.section_heading").alias("heading"), "m.article_number", "m.heading_level")
+    return out.select("o_orderkey", "m.marker_type", F.col("m.section_heading").alias("heading"), F.col("m.article_number").cast("int").alias("article_number"), "m.heading_level")
+
+
+_LINES = [
+    ("Bakı, xəbər (AZƏRTAC) mətn", "news", "dateline"), ("Gəncə. Hava APA: isti", "news", "dateline"), ("Bakı, 3 may. Xəbər", "news", "dateline"), ("bakı, 3 may. Xəbər", "news", None), ("Bakı, xəbər AZƏRTAC mətn", "news", None),
+    ("Coğrafi mövqe", "encyclopedic", "heading"), ("12 aprel", "encyclopedic", "heading"), ("Coğrafi mövqe.", "encyclopedic", None), ("coğrafi mövqe", "encyclopedic", None), ("Bir iki üç dörd beş altı yeddi səkkiz doqquz", "encyclopedic", None),
+    ("Bir iki üç dörd beş altı yeddi səkkiz", "encyclopedic", "heading"), ("=== Alt başlıq ===", "encyclopedic", "heading"), ("###### Son", "encyclopedic", "heading"), ("####### Çox", "encyclopedic", None), ("Coğrafi mövqe", "general", None),
+    ("Maddə 99999999999. Uzun", "legal", "article"), ("Maddə ٤٢. Ərəb", "legal", "article"), ("maddə 1", "legal", None), ("FƏSİL IV", "legal", "chapter"), ("12.3.4. Bənd", "legal", "clause"), ("12. Bənd", "legal", None), ("Maddə 3", "news", None),
+]
+_BY_LINE = "CASE o_orderkey % {n} ".format(n=len(_LINES)) + "{} END"
+_CASES = lambda f: _BY_LINE.format(" ".join(f"WHEN {i} THEN {f(x)}" for i, x in enumerate(_LINES)))
+_TEXT_OF = lambda v: "NULL" if v is None else f"'{v}'"
+
+
+@_query(f"SELECT o_orderkey, {_CASES(lambda x: _TEXT_OF(x[2]))} AS marker_type, CASE o_orderkey % {len(_LINES)} WHEN 15 THEN 99999999999 WHEN 16 THEN 42 END AS article_number FROM orders")
+def classify_odd_lines(spark, d):
+    """News agencies, bare headings, numbers beyond 32 bits and in other digits, and lines that miss a rule by one thing."""
+    m = chunking.classify(F.expr(_CASES(lambda x: _TEXT_OF(x[0]))), F.expr(_CASES(lambda x: _TEXT_OF(x[1]))))
+    return _t(spark, d, "orders").select("o_orderkey", m.alias("m")).select("o_orderkey", "m.marker_type", "m.article_number")
 
 
 _MARKED = f"SELECT o_custkey AS doc_id, string_agg({_MARKS}, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey"
@@ -185,12 +248,15 @@ def sections(spark, d):
     return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("sec").cast("bigint").alias("sec"), "text", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("stop"))
 
 
-@_query("""WITH RECURSIVE w AS (
+_WINDOWS = """WITH RECURSIVE w AS (
       SELECT doc_id, 0::BIGINT AS i, text, 0::BIGINT AS a, least(800, length(text)) AS b FROM (SELECT doc_id, regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS text FROM documents) WHERE text <> ''
       UNION ALL
       SELECT doc_id, i + 1, text, a2, least(a2 + 800, length(text)) FROM (SELECT *, CASE WHEN sp > 0 AND sp - 1 < 119 THEN b - 120 + sp ELSE b - 120 END AS a2
         FROM (SELECT *, instr(substring(text, b - 119, 120), ' ') AS sp FROM w WHERE b < length(text))))
-    SELECT doc_id || '::' || printf('%04d', i) AS chunk_id, a::BIGINT AS start, b::BIGINT AS stop, md5(substring(text, a + 1, b - a)) AS piece FROM w""".replace("\\\\", "\\"))
+    """.replace("\\\\", "\\")
+
+
+@_query(_WINDOWS + "SELECT doc_id || '::' || printf('%04d', i) AS chunk_id, a::BIGINT AS start, b::BIGINT AS stop, md5(substring(text, a + 1, b - a)) AS piece FROM w")
 def structural_chunks(spark, d):
     docs = _documents(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit(" "))).withColumn("domain", F.lit("other"))
     out = chunking.structural()(docs)
@@ -198,6 +264,28 @@ def structural_chunks(spark, d):
     return out.select("chunk_id", strip.alias("start"), F.col("end").cast("bigint").alias("stop"), F.md5(F.col("text").cast("binary")).alias("piece"))
 
 
+@_query(_WINDOWS + """SELECT c.doc_id || '::' || printf('%04d', i) AS chunk_id, i AS position, n AS n_chunks, CASE WHEN c.doc_id % 3 = 0 THEN source END AS title, CASE WHEN c.doc_id % 2 = 0 THEN '2020-01-' || printf('%02d', c.doc_id % 28 + 1) END AS date,
+      md5('[other' || CASE WHEN c.doc_id % 3 = 0 THEN ' | ' || source ELSE '' END || CASE WHEN c.doc_id % 2 = 0 THEN ' | 2020-01-' || printf('%02d', c.doc_id % 28 + 1) ELSE '' END || ']' || chr(10) || t) AS embedding, k AS kind
+    FROM (SELECT doc_id, i, substring(text, a + 1, b - a) AS t, count(*) OVER (PARTITION BY doc_id) AS n FROM w) c JOIN (SELECT doc_id, source, lang AS k FROM documents) m USING (doc_id)""")
+def enriched_chunks(spark, d):
+    """Position, number of chunks, title, date, own keys and the text to embed, on windows of the documents."""
+    even, third = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0
+    docs = _t(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), F.lit("other").alias("domain"), F.when(third, F.col("source")).alias("title"),
+        F.when(even, F.concat(F.lit("2020-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))).alias("date"), F.create_map(F.lit("kind"), F.col("lang")).alias("extra"), F.lit("").alias("doc_text"),
+    )
+    out = enrich.enrich(chunking.structural()(docs))
+    return out.select("chunk_id", F.col("meta.position").cast("bigint").alias("position"), F.col("meta.n_chunks").cast("bigint").alias("n_chunks"), "meta.title", "meta.date", F.md5(F.col("embedding_text").cast("binary")).alias("embedding"), F.col("extra")["kind"].alias("kind"))
+
+
+@_query("""SELECT doc_id, line, count(*) AS n FROM (SELECT c AS doc_id, unnest(string_split(text, chr(10))) AS line FROM (SELECT o_custkey % 7 AS c, string_agg(MARKS, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey)) GROUP BY doc_id, line""".replace("MARKS", _MARKS))
+def sections_of_equal_ids(spark, d):
+    """Documents that share an id are cut each by itself: their lines stay together and none is doubled."""
+    docs = _marked(spark, d).withColumn("doc_id", F.col("doc_id").cast("bigint") % 7)
+    line = chunking.sections(docs).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return line.groupBy("doc_id", "line").agg(F.count("*").alias("n"))
+
+
 @_query()
 def recursive_chunks(spark, d):
     return chunking.recursive()(_documents(spark, d)).select("chunk_id", "text", "start", "end", "position")
@@ -209,12 +297,16 @@ def two_pass_chunks(spark, d):
     return out.select("chunk_id", "text", "start", "end", "meta.chunking", "meta.position", "meta.n_chunks", "embedding_text")
 
 
-@_query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders""")
+@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 IN (0, 1, 2, 3, 4, 5) THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 10 = 6 THEN '2031' || strftime(o_orderdate, '-%m-%d') WHEN o_orderkey % 10 = 7 THEN '2020-05-05' WHEN o_orderkey % 10 = 8 THEN '9999-99-99' END AS date FROM orders""")
 def extract_date(spark, d):
-    months = F.array(*[F.lit(m) for m in X._MONTHS])
-    o = F.col("o_orderdate")
-    text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(o, "'Tarix 'yyyy-MM-dd'.'")).when(F.col("o_orderkey") % 3 == 1, F.date_format(o, "'tarix 'dd.MM.yyyy")).otherwise(F.concat(F.dayofmonth(o), F.lit(" "), F.get(months, F.month(o) - 1), F.lit(" "), F.year(o)))
-    return _t(spark, d, "orders").select("o_orderkey", X.extract_date(text).alias("date"))
+    """ISO, day.month.year, day/month/year, month names in three casings, Arabic digits, a default year, an impossible date before a good one, none."""
+    months, upper = (F.get(F.array(*[F.lit(f(m)) for m in X._MONTHS]), F.month("o_orderdate") - 1) for f in (str, X.az_upper))
+    o, i = F.col("o_orderdate"), F.col("o_orderkey") % 10
+    day, year = F.dayofmonth(o), F.year(o)
+    arabic = F.translate(F.date_format(o, "dd.MM.yyyy"), "0123456789", "٠١٢٣٤٥٦٧٨٩")
+    forms = [F.date_format(o, "'Tarix 'yyyy-MM-dd'.'"), F.date_format(o, "'tarix 'dd.MM.yyyy"), F.date_format(o, "d/M/yyyy"), F.concat_ws(" ", day, months, year), F.concat_ws(" ", day, upper, year), arabic, F.concat_ws(" ", day, F.initcap(months)), F.lit("45.13.2020 və 5 may 2020"), F.lit("9999-99-99"), F.lit("tarix yoxdur 12")]
+    text = F.get(F.array(*forms), i.cast("int"))
+    return _t(spark, d, "orders").select("o_orderkey", X.extract_date(text, 2031).alias("date"))
 
 
 @_query("""SELECT doc_id::VARCHAR || '::' || printf('%04d', doc_id) AS chunk_id, '[' || concat_ws(' | ', nullif(lang, ''), CASE WHEN doc_id % 2 = 0 THEN source END) || ']' || chr(10) || text AS t FROM documents""")
@@ -248,24 +340,72 @@ def skip_existing(spark, d):
     return store.missing(docs, docs.where("doc_id % 3 = 0"), "doc_id").select("doc_id")
 
 
-@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END AS lang FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@_query("SELECT doc_id, CASE WHEN n_chars > 800 THEN upper(lang) ELSE lang END AS lang FROM documents UNION ALL SELECT -doc_id - 1, lang FROM documents WHERE n_chars > 800")
 def upsert(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", "lang")
-    new = docs.where("doc_id % 3 = 0")
-    twice = new.withColumn("seq", F.lit(0)).union(new.select("doc_id", F.upper("lang"), F.lit(1)))
-    return store.merged(docs.where("doc_id % 2 = 0"), store.last_of_each(twice, "doc_id", "seq").drop("seq"), "doc_id")
-
-
-_EVAL = _SCORES + """, e AS (SELECT query_id, ql, rank, label % 2 = ql % 2 AS rel FROM r WHERE rank <= 5),
-    m AS (SELECT query_id, ql, coalesce(1.0 / min(rank) FILTER (WHERE rel), 0) AS rr, count(*) FILTER (WHERE rel) / (SELECT count(*) FROM embeddings x WHERE x.label % 2 = any_value(ql) % 2) AS recall,
-      coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rel), 0) / list_sum(list_transform(range(1, 6), lambda i: 1 / log2(i + 1))) AS ndcg FROM e GROUP BY query_id, ql)"""
+    """All documents are the old rows; long ones come again twice, the last time changed, and with new ids too."""
+    docs = _t(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    long = docs.where("n_chars > 800")
+    new = long.select("doc_id", "lang", F.lit(0).alias("seq")).union(long.select("doc_id", F.upper("lang"), F.lit(1))).union(long.select(-F.col("doc_id") - 1, "lang", F.lit(0)))
+    return store.merged(docs.select("doc_id", "lang"), store.last_of_each(new, "doc_id", "seq").drop("seq"), "doc_id")
+
+
+_CHUNK_ROWS = "SELECT vec_id, label, embedding FROM embeddings"
+
+
+@_query("SELECT label::VARCHAR AS domain, count(*) FILTER (WHERE vec_id % 4 = 0) AS changed, count(*) AS n, round(sum(CASE WHEN vec_id % 4 = 0 THEN -1 ELSE 1 END * embedding[1]::DOUBLE), 6) AS first FROM embeddings GROUP BY label UNION ALL SELECT 'one', NULL, count(*), NULL FROM embeddings WHERE label = 3")
+def parquet_store(spark, d):
+    """A store on disk: appended, upserted, read back, and read by one domain, whose partition alone is scanned."""
+    empty = F.lit(None)
+    e = _t(spark, d, "embeddings")
+    label = F.col("label").cast("string")
+    meta = spark.createDataFrame([], store.SCHEMA).schema["meta"].dataType
+    struct = F.struct(*[(label if f.name == "domain" else empty.cast(f.dataType)).alias(f.name) for f in meta])
+    rows = e.select(
+        F.concat(F.col("vec_id").cast("string"), F.lit("::0000")).alias("chunk_id"), F.col("vec_id").cast("string").alias("doc_id"), F.lit("x").alias("text"), F.lit(0).alias("start"), F.lit(1).alias("end"),
+        struct.alias("meta"), F.create_map(F.lit("k"), F.lit("v")).alias("extra"), F.lit("x").alias("embedding_text"), F.col("embedding").cast("array<double>").alias("vector"),
+    )
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bulaq-")
+    at = store.ParquetStore(spark, f"{base}/stores", uuid.uuid4().hex)
+    at.add_new(rows)
+    again = rows.where(F.col("doc_id").cast("bigint") % 4 == 0)
+    at.upsert(again.withColumn("text", F.lit("y")).withColumn("vector", F.transform("vector", lambda x: -x)))
+    got = at.scan()
+    all_ = got.groupBy(F.col("meta.domain").alias("domain")).agg(F.count_if(F.col("text") == "y").alias("changed"), F.count("*").alias("n"), F.round(F.sum(F.get("vector", F.lit(0))), 6).alias("first"))
+    one = search.where(got, {"domain": "3"}).agg(F.lit("one").alias("domain"), empty.cast("bigint").alias("changed"), F.count("*").alias("n"), empty.cast("double").alias("first"))
+    return all_.union(one)
+
+
+@_query("SELECT doc_id::VARCHAR AS doc_id, text, lang AS domain, source, n_chars::VARCHAR AS n_chars FROM documents WHERE text IS NOT NULL")
+def json_lines(spark, d):
+    """Documents exported by all tasks as JSON Lines and loaded again, names of columns resolved, others kept as metadata."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bulaq-")
+    docs = _t(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col("lang").alias("domain"), "source", "n_chars")
+    path = export.export_folder(docs, f"{base}/exports/{uuid.uuid4().hex}.jsonl")
+    return load.load_documents(spark, path).select("doc_id", "text", "domain", F.col("extra")["source"].alias("source"), F.col("extra")["n_chars"].alias("n_chars"))
+
+
+@_query("SELECT query_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(ids, lambda x: x IS NOT NULL AND x <> ''))), ','), '') AS gold FROM (SELECT doc_id::VARCHAR AS query_id, CASE doc_id % 3 WHEN 0 THEN [doc_id::VARCHAR] WHEN 1 THEN [NULL, doc_id::VARCHAR, doc_id::VARCHAR, ''] END AS ids FROM labels) WHERE ids IS NOT NULL")
+def gold_of_lists_and_scalars(spark, d):
+    """A scalar gold id, a list with null, empty and repeated ones, and none: questions without any are dropped."""
+    i = F.col("doc_id").cast("string")
+    q = _t(spark, d, "labels").select(i.alias("id"), F.lit("q").alias("question"), F.when(F.col("doc_id") % 3 == 1, F.array(F.lit(None), i, i, F.lit(""))).alias("relevant_ids"), F.when(F.col("doc_id") % 3 == 0, i).alias("source_doc_ids"))
+    return load.queries_of(q).select("query_id", F.array_join(F.sort_array("relevant_ids"), ",").alias("gold"))
+
+
+#: Gold ids of a vector: those of its label among the hundred around it.
+_EVAL = _SCORES + """, g AS (SELECT q.query_id, x.vec_id FROM q JOIN embeddings x ON x.vec_id BETWEEN q.query_id - 50 AND q.query_id + 50 AND x.label = q.ql),
+    e AS (SELECT r.query_id, ql, rank, g.vec_id IS NOT NULL AS rel FROM r LEFT JOIN g ON g.query_id = r.query_id AND g.vec_id = r.vec_id WHERE rank <= 5),
+    n AS (SELECT query_id, count(*) AS n FROM g GROUP BY query_id),
+    m AS (SELECT query_id, ql, coalesce(1.0 / min(rank) FILTER (WHERE rel), 0) AS rr, count(*) FILTER (WHERE rel) / any_value(n) AS recall,
+      coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rel), 0) / list_sum(list_transform(range(1, least(5, any_value(n)) + 1), lambda i: 1 / log2(i + 1))) AS ndcg FROM e JOIN n USING (query_id) GROUP BY query_id, ql)"""
 
 
 def _metrics(spark, d) -> DataFrame:
-    top = search.top_k(_store(spark, d), _vector_queries(spark, d), 5).select("query_id", "rank", F.concat(F.col("chunk_id"), F.lit("")).alias("chunk_id"), F.concat(F.lit("doc of "), F.col("chunk_id").cast("string")).alias("doc_id"))
-    gold = _t(spark, d, "embeddings").groupBy((F.col("label") % 2).alias("par")).agg(F.collect_list(F.col("vec_id").cast("string")).alias("relevant_ids"))
-    q = _vector_queries(spark, d).withColumn("par", F.col("label") % 2).join(gold, "par").select("query_id", "relevant_ids", F.col("label").cast("string").alias("domain"))
-    return evaluate.per_query(evaluate.hit_ids(top, q), 5)
+    top = search.top_k(_store(spark, d), _vector_queries(spark, d), 5).select("query_id", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), F.concat(F.lit("doc of "), F.col("chunk_id").cast("string")).alias("doc_id"))
+    e = _t(spark, d, "embeddings")
+    around = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.explode(F.sequence(F.col("vec_id") - 50, F.col("vec_id") + 50)).alias("vec_id"))
+    gold = around.join(e.select("vec_id", "label"), "vec_id").where("label = ql").select("query_id", F.col("vec_id").cast("string").alias("relevant_id"))
+    return evaluate.judged(top, gold, _vector_queries(spark, d).select("query_id", F.col("label").cast("string").alias("domain")), 5)
 
 
 @_query(_EVAL + "SELECT query_id, round(rr, 6) AS rr, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM m")
@@ -280,21 +420,22 @@ def eval_grouping(spark, d):
 
 @_query("SELECT event_type, list_sort(list(value))[count(value) // 2 + 1] AS p50 FROM events GROUP BY event_type")
 def p50_upper(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(V.upper_median(F.col("value")).alias("p50"))
+    return V.upper_median(_t(spark, d, "events"), "event_type", "value")
 
 
-@_query("""WITH t AS (SELECT item_id, ' ' || lower(translate(text, 'İI', 'iı')) || ' ' AS t FROM benchmark),
-    g AS (SELECT item_id, ('0x' || substring(md5(substring(t, i, 3)), 1, 7))::BIGINT AS h FROM (SELECT item_id, t, unnest(range(1, length(t) - 1)) AS i FROM t)),
-    s AS (SELECT item_id, (h >> 1) % 256 AS bucket, sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END) AS s FROM g GROUP BY ALL)
-    SELECT item_id, bucket, round(sign(s) * ln(1 + abs(s)), 6) AS value FROM s""")
+@_query("""WITH t AS (SELECT doc_id, ' ' || lower(translate(text, 'İI', 'iı')) || ' ' AS t FROM documents),
+    g AS (SELECT doc_id, ('0x' || substring(md5(substring(t, i, 3)), 1, 7))::BIGINT AS h FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM t)),
+    s AS (SELECT doc_id, (h >> 1) % 256 AS bucket, sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END) AS s FROM g GROUP BY ALL)
+    SELECT doc_id, bucket, round(sign(s) * ln(1 + abs(s)), 6) AS value FROM s""")
 def hashed_embed_md5(spark, d):
-    out = embed.hashed_md5(_t(spark, d, "benchmark"), "item_id", "text")
-    return out.select("item_id", "bucket", F.round("value", 6).alias("value"))
+    out = embed.hashed_md5(_t(spark, d, "documents"), "doc_id", "text")
+    return out.select("doc_id", "bucket", F.round("value", 6).alias("value"))
 
 
 @_query()
 def hashed_embed(spark, d):
-    return _t(spark, d, "benchmark").select("item_id", embed.Hashed(256).documents(F.col("text")).alias("vector"))
+    """The default embedder over all documents; a test holds it against a plain version of its rule."""
+    return _t(spark, d, "documents").select("doc_id", embed.Hashed(256).documents(F.col("text")).alias("vector"))
 
 
 @_query("""SELECT '| ' || doc_id || ' | ' || lang || ' | ' || CASE WHEN length(t) > 160 THEN left(t, 157) || '…' ELSE t END || ' |' AS line

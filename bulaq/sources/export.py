@@ -1,4 +1,4 @@
-"""Exports: one file per call for results of a bounded size, streamed row by row; DataFrames also as distributed folders."""
+"""Exports: one file per call for results of a bounded size; export_folder() has every task write its part of a DataFrame."""
 
 from __future__ import annotations
 
@@ -47,7 +47,12 @@ def to_records(items) -> Iterator[dict]:
 
 
 def _json(rows: Iterable[dict], path: Path) -> None:
-    path.write_text(json.dumps(list(rows), ensure_ascii=False, indent=2), "utf-8")
+    with path.open("w", encoding="utf-8") as out:
+        lead = "["
+        for r in rows:
+            out.write(f"{lead}\n  " + json.dumps(r, ensure_ascii=False, indent=2).replace("\n", "\n  "))
+            lead = ","
+        out.write("[]" if lead == "[" else "\n]")
 
 
 def _jsonl(rows: Iterable[dict], path: Path) -> None:
@@ -94,6 +99,25 @@ def export(items, path: str | Path, format: str | None = None) -> Path:
     return path
 
 
+def _cell(c: Column, kind: str) -> Column:
+    """A value for a table without nesting: structs, arrays and maps as JSON."""
+    return F.to_json(c) if kind in ("struct", "array", "map") else c.cast("string")
+
+
+def export_folder(df: DataFrame, path: str, format: str | None = None) -> str:
+    """``df`` as a folder of JSON Lines, CSV, Parquet or text (.md: rows of one table) that its tasks write on any file system."""
+    kind = (format or str(path).rpartition(".")[2]).lstrip(".").lower()
+    cells = [_cell(F.col(f"`{f.name}`"), f.dataType.typeName()).alias(f.name) for f in df.schema]
+    writer = {
+        "jsonl": lambda: df.write.option("ignoreNullFields", False).json(str(path)), "parquet": lambda: df.write.parquet(str(path)),
+        "csv": lambda: df.select(*cells).write.option("header", True).option("escape", '"').csv(str(path)), "md": lambda: df.select(markdown_row(*cells)).write.text(str(path)),
+    }
+    if kind not in writer:
+        raise ValueError(f"no distributed writer for {kind!r}; available: {sorted(writer)}")
+    writer[kind]()
+    return str(path)
+
+
 def markdown_row(*cells: Column) -> Column:
     """One row of a Markdown table as a Column."""
     def cell(c: Column) -> Column:

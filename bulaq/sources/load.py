@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import os
 from collections.abc import Callable
 
@@ -70,10 +69,26 @@ def documents_of(records: DataFrame, default_domain: str = "general", field_map:
     return records.select(doc_id.alias("doc_id"), F.coalesce(of("text"), F.lit("")).alias("text"), F.coalesce(of("domain"), F.lit(default_domain)).alias("domain"), of("title").alias("title"), of("date").alias("date"), extras(records, known).alias("extra"))
 
 
-def _texts(spark: SparkSession, path: str, domain: str) -> DataFrame:
-    folder = os.path.isdir(path)
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether the file system of the path, which may be a remote one, has a folder there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def _has_texts(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has a .txt file at any depth; the listing ends at the first one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    while files.hasNext():
+        if files.next().getPath().getName().lower().endswith(".txt"):
+            return True
+    return False
+
+
+def _texts(spark: SparkSession, path: str, domain: str, folder: bool) -> DataFrame:
     r = spark.read
-    r = r.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt") if folder else r
+    r = r.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]") if folder else r
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     null = F.lit(None).cast("string")
     return r.text(path, wholetext=True).select(F.regexp_replace(name, r"(?i)\.txt$", "").alias("doc_id"), F.col("value").alias("text"), F.lit(domain).alias("domain"), null.alias("title"), null.alias("date"), F.create_map().cast("map<string,string>").alias("extra"))
@@ -88,9 +103,9 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 def load_documents(spark: SparkSession, path: str, default_domain: str = "general", field_map: dict | None = None) -> DataFrame:
     """Documents of a folder of texts, one text, or a file of records."""
-    has_texts = os.path.isdir(path) and bool(glob.glob(f"{glob.escape(path)}/**/*.txt", recursive=True))
-    if has_texts or path.lower().endswith(".txt"):
-        return _texts(spark, path, default_domain)
+    folder = _is_folder(spark, path)
+    if path.lower().endswith(".txt") or folder and _has_texts(spark, path):
+        return _texts(spark, path, default_domain, folder)
     return documents_of(records(spark, path), default_domain, field_map)
 
 
@@ -111,8 +126,9 @@ def queries_of(found: DataFrame, documents: DataFrame | None = None, field_map:
     """
     names = keys(QUERY_FIELDS, field_map)
     have = [n for n in names["relevant_ids"] if n in found.columns]
-    as_ids = lambda n: F.col(n).cast("array<string>") if found.schema[n].dataType.typeName() == "array" else F.array(F.col(n).cast("string"))
-    ids = F.array_distinct(F.coalesce(*[as_ids(n) for n in have], F.lit(None).cast("array<string>")))
+    as_ids = lambda n: F.col(n).cast("array<string>") if found.schema[n].dataType.typeName() == "array" else F.when(F.col(n).isNotNull(), F.array(F.col(n).cast("string")))
+    given = [F.filter(as_ids(n), lambda x: x.isNotNull() & (x != "")) for n in have]
+    ids = F.array_distinct(F.coalesce(*[F.when(F.size(g) > 0, g) for g in given], F.lit(None).cast("array<string>")))
     answerable = F.coalesce(F.col("answerable").cast("boolean"), F.lit(True)) if "answerable" in found.columns else F.lit(True)
     of = lambda f: first_given(found, names[f])
     query = of("query")

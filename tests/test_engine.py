@@ -1,11 +1,13 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from bulaq import cli
 from bulaq.functions import vectors as V
-from bulaq.operators import embed, evaluate, search, store
+from bulaq.operators import embed, enrich, evaluate, remote, search, store
+from bulaq.plans import progress
 from bulaq.plans.engine import Engine
 from bulaq.plans.present import Presenter
 from bulaq.sources import export, load
@@ -31,6 +33,7 @@ def test_load(spark, corpus, tmp_path):
     (tmp_path / "t/sub").mkdir(parents=True)
     (tmp_path / "t/sub/şə x.txt").write_text("mətn\n2", "utf-8")
     assert [(r["doc_id"], r["text"]) for r in load.load_documents(spark, str(tmp_path / "t")).collect()] == [("şə x", "mətn\n2")]
+    assert load.load_documents(spark, (tmp_path / "t").as_uri()).count() == 1  # a folder by its address
     (tmp_path / "bad.json").write_text('[{"text": "x"}]')
     with pytest.raises(Exception, match="doc_id"):
         load.load_documents(spark, str(tmp_path / "bad.json")).collect()
@@ -45,7 +48,10 @@ def test_load(spark, corpus, tmp_path):
 
 def test_queries(spark, tmp_path, corpus):
     q = [{"query_id": "q1", "question": "a", "source_doc_ids": ["d1"]}, {"id": "q2", "query": "b", "relevant_ids": ["d1"], "answerable": False}, {"id": "q3", "query": "c", "relevant_ids": ["missing"]}]
+    q += [{"id": "q4", "query": "d", "source_doc_ids": None}, {"id": "q5", "query": "e", "relevant_ids": ["", None]}]
     (tmp_path / "q.json").write_text(json.dumps(q))
+    one = spark.createDataFrame([("a", "x", None), ("b", "y", "d1")], "query_id string, query string, relevant_ids string")
+    assert [r["query_id"] for r in load.queries_of(one).collect()] == ["b"]
     assert sorted(r["query_id"] for r in load.load_queries(spark, str(tmp_path / "q.json")).collect()) == ["q1", "q3"]
     assert [(r["query_id"], r["domain"]) for r in load.load_queries(spark, str(tmp_path / "q.json"), corpus).collect()] == [("q1", "legal")]
 
@@ -68,8 +74,15 @@ def test_engine(spark, corpus, tmp_path):
     e.save_json(str(tmp_path / "saved.json"))
     for other, path in (("a", "saved"), ("b", "saved.json")):
         e2 = Engine(spark, str(tmp_path / other))
-        (e2.load_json if path.endswith("json") else e2.load)(str(tmp_path / path))
+        e2.add_texts(["Bu mətn silinəcək, çünki yükləmə köhnəni əvəz edir."])
+        e2.load(str(tmp_path / path))  # replaces what was there
         assert e2.count() == 3 and e2.search("mülkiyyət hüququ", 1).first()["doc_id"] == "d1"
+        assert [r["doc_id"] for r in e2.search("Bakı", 5, {"court": "x"}).collect()] == ["0"]  # own keys come back
+        assert sorted(map(str, e2.store.scan().drop("part_domain").collect())) == sorted(map(str, e.store.scan().drop("part_domain").collect()))
+    folder = e.export_chunks(str(tmp_path / "o.jsonl"), distributed=True)
+    assert spark.read.json(folder).count() == 3 and sorted(spark.read.json(folder).columns) == sorted(e.store.chunks().columns)
+    for kind in ("csv", "md", "parquet"):
+        assert spark.read.text(e.export_chunks(str(tmp_path / f"o_{kind}"), kind, True)).count() > 0 if kind != "parquet" else spark.read.parquet(e.export_chunks(str(tmp_path / "o_p"), kind, True)).count() == 3
     assert e.export_chunks(str(tmp_path / "o.csv")).read_bytes()[:3] == b"\xef\xbb\xbf"
     assert e.add_documents(corpus, skip_existing=False) == 3 and e.count() == 3
     e.store.clear()
@@ -86,6 +99,195 @@ def test_stream(spark, tmp_path):
     assert e.count() == 1
 
 
+def test_enricher_batches_and_progress(spark, corpus, capsys):
+    sizes = []
+
+    class Counting(embed.Hashed):
+        def vectors(self, texts, query=False):
+            if len(texts) > 2:
+                raise ValueError("too many at once")
+            return super().vectors(texts, query)
+
+    def enricher(chunks):
+        return enrich.enrich(chunks, False).withColumn("extra", F.create_map(F.lit("own"), F.lit("yes")))
+
+    e = Engine(spark, backend="memory", embedder=Counting(64), enricher=enricher)
+    docs = load.from_texts(spark, [f"Mətn nömrə {i} burada yazılıb və kifayət qədər uzundur." for i in range(9)])
+    assert e.add_documents(docs.coalesce(1), batch_size=2, progress=True) == 9 and not sizes
+    assert "Indexing" in capsys.readouterr().err
+    hit = e.search("nömrə 3", 1).first()
+    assert hit["metadata"]["own"] == "yes" and e.store.scan().first()["embedding_text"] == e.store.scan().first()["text"]
+    rep = e.evaluate(spark.createDataFrame([("q", "nömrə 3", [hit["doc_id"]], None)], "query_id string, query string, relevant_ids array<string>, domain string"), 3, latencies=1)
+    assert rep["latency_ms_p50"] > 0 and "p50" in evaluate.markdown(rep)
+
+
+def test_progress_bar():
+    import io
+
+    out = io.StringIO()
+    assert list(progress.track(iter(range(20)), "Phase", out)) == list(range(20))
+    lines = out.getvalue().splitlines()
+    assert len(lines) == 11 and lines[-1].startswith("Phase") and "20/20  100%" in lines[-1] and "░" not in lines[-1]
+    tty = io.StringIO()
+    tty.isatty = lambda: True
+    bar = progress.ProgressBar("x", 2, 4, tty)
+    bar.update(extra="first")
+    bar.update()
+    bar.finish()
+    assert tty.getvalue().startswith("\r") and tty.getvalue().endswith("\n") and "first" in tty.getvalue()
+
+
+def test_store_versions(spark, tmp_path):
+    """Two writers lose nothing, old parts go, many parts become one, and a filter on the domain reads its folder only."""
+    def rows(i, n=2):
+        base = spark.createDataFrame([(f"{i}::{j:04d}", str(i), "t", 0, 1) for j in range(n)], "chunk_id string, doc_id string, text string, start int, end int")
+        meta = spark.createDataFrame([], store.SCHEMA).schema["meta"].dataType
+        struct = F.struct(*[(F.lit(["a", "b"][i % 2]) if f.name == "domain" else F.lit(None).cast(f.dataType)).alias(f.name) for f in meta])
+        return base.withColumn("meta", struct).withColumn("extra", F.create_map().cast("map<string,string>")).withColumn("embedding_text", F.lit("t")).withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
+
+    a, b = (store.ParquetStore(spark, str(tmp_path), dimension=2) for _ in range(2))
+    a.COMPACT = b.COMPACT = 3
+    assert a.count() == 0 and a.add_new(rows(0)) == 2
+    number, parts = a.current()
+    first = b._write(rows(1))
+    assert b._publish(number + 1, [*parts, first]) and not a._publish(number + 1, parts)  # the number is taken
+    a.add_new(rows(2))
+    assert a.count() == b.count() == 6
+    for i in range(3, 8):
+        b.add_new(rows(i))
+    assert b.count() == 16 and len(b.current()[1]) <= 3 and len(b._names("version=")) <= b.KEPT and len(b._names("part=")) <= 9
+    only = search.where(a.scan(), {"domain": "b"})
+    assert only.count() == 8 and all("part_domain=b" in f for f in only.inputFiles() if "part_domain" in f and "=a" not in f)
+    plan = only._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part_domain", plan)
+    b.upsert(rows(1).withColumn("text", F.lit("new")))
+    assert b.count() == 16 and b.scan().where("text = 'new'").count() == 2
+    with pytest.raises(Exception, match="numbers"):
+        a.add_new(rows(9).withColumn("vector", F.array(F.lit(1.0))))
+    b.clear()
+    assert a.count() == 0
+
+
+class StubClient:
+    """A server in a folder: what the tasks of several processes write there is seen by all."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def _all(self):
+        return {p.stem.replace("~", ":"): json.loads(p.read_text()) for p in self.folder.glob("*.row")}
+
+    def dimension(self):
+        p = self.folder / "dim"
+        return int(p.read_text()) if p.exists() else None
+
+    def create(self, dimension):
+        (self.folder / "dim").write_text(str(dimension))
+
+    def upsert(self, rows):
+        flag = self.folder / f"failed-{rows[0]['id'].replace(':', '~')}"
+        if not flag.exists():  # each first batch fails once
+            flag.write_text("")
+            raise OSError("503 service unavailable")
+        assert len(rows) <= 2
+        for r in rows:
+            assert all(isinstance(v, (str, int, float, bool)) for v in r["metadata"].values())
+            (self.folder / f"{r['id'].replace(':', '~')}.row").write_text(json.dumps(r))
+
+    def query(self, vector, k, equal):
+        hits = [(r["id"], sum(a * b for a, b in zip(r["values"], vector)), r["metadata"]) for r in self._all().values() if all(r["metadata"].get(n) == v for n, v in (equal or {}).items())]
+        return sorted(hits, key=lambda h: (-h[1], h[0]))[:k]
+
+    def ids(self):
+        ids = sorted(self._all())
+        for i in range(0, len(ids), 2):
+            yield ids[i : i + 2]
+
+    def fetch(self, ids):
+        return {i: (r["values"], r["metadata"]) for i, r in self._all().items() if i in ids}
+
+    def count(self):
+        return len(self._all())
+
+    def clear(self):
+        for p in self.folder.glob("*.row"):
+            p.unlink()
+
+
+def test_remote_store(spark, corpus, tmp_path):
+    connect = lambda folder=tmp_path: StubClient(folder)
+    with pytest.raises(ValueError, match="dimension"):
+        remote.RemoteStore(spark, connect)
+    at = remote.RemoteStore(spark, connect, 256, batch=2, wait=0.01)
+    with pytest.raises(ValueError, match="256"):
+        remote.RemoteStore(spark, connect, 8)
+    e = Engine(spark, backend=at, default_year=2026)
+    assert e.add_documents(corpus) == 3 and e.add_documents(corpus) == 0 and e.count() == 3
+    local = Engine(spark, backend="memory", default_year=2026)
+    local.add_documents(corpus)
+    for where in (None, {"domain": "news"}, {"court": "x"}):
+        one, two = (x.search("mülkiyyət hüququ", 2, where).select("rank", "chunk_id", "doc_id", "text", F.round("score", 9)).collect() for x in (e, local))
+        assert one == two
+    order = lambda x: sorted(map(str, x.store.scan().select("chunk_id", "doc_id", "text", "start", "end", "meta", "extra", "embedding_text").collect()))
+    assert order(e) == order(local)
+    assert sorted(r["chunk_id"] for r in at.existing(spark.createDataFrame([("d1::0000",), ("no",)], "chunk_id string")).collect()) == ["d1::0000"]
+    assert e.add_documents(corpus, skip_existing=False) == 3 and e.count() == 3
+    e.store.clear()
+    assert e.count() == 0
+
+
+def test_remote_clients():
+    """The requests that the adapters make of the libraries, which are not installed here."""
+    calls = []
+
+    class Index:
+        def __getattr__(self, name):
+            def call(**o):
+                calls.append((name, o))
+                return {
+                    "query": {"matches": [{"id": "a", "score": 0.5, "metadata": {"text": "t"}}]}, "list": [["a"], [{"id": "b"}]], "fetch": {"vectors": {"a": {"values": [1.0], "metadata": {}}}},
+                    "describe_index_stats": {"namespaces": {"n": {"vector_count": 7}}}, "get": {"ids": ["a"], "embeddings": [[1.0]], "documents": ["t"], "metadatas": [{"d": 1}]}, "count": 3,
+                }.get(name)
+
+            return call
+
+    p = remote.Pinecone.__new__(remote.Pinecone)
+    p.namespace, p.index, p.metric, p.place = "n", "i", "cosine", ("aws", "r")
+    p.lib = type("L", (), {"ServerlessSpec": staticmethod(lambda **o: o)})
+    p.api = type("A", (), {"Index": lambda self, n: Index(), "list_indexes": lambda self: [{"name": "i", "dimension": 4}], "create_index": lambda self, **o: calls.append(("create", o))})()
+    assert p.dimension() == 4 and p.query([1.0], 2, {"x": 1}) == [("a", 0.5, {"text": "t"})] and list(p.ids()) == [["a"], ["b"]] and p.fetch(["a"]) == {"a": ([1.0], {})} and p.count() == 7
+    p.create(4), p.upsert([{"id": "a"}]), p.clear()
+    sent = dict(calls)
+    assert sent["query"]["filter"] == {"x": {"$eq": 1}} and sent["upsert"]["namespace"] == "n" and sent["delete"]["delete_all"] and sent["create"]["dimension"] == 4
+    calls.clear()
+    c = remote.Chroma.__new__(remote.Chroma)
+    c.at = Index()
+    assert c.dimension() == 1 and c.fetch(["a"]) == {"a": ([1.0], {"d": 1, "text": "t"})}
+    c.upsert([{"id": "a", "values": [1.0], "metadata": {"text": "t", "d": 1}}])
+    assert dict(calls)["upsert"] == {"ids": ["a"], "embeddings": [[1.0]], "documents": ["t"], "metadatas": [{"d": 1}]}
+
+
+def test_judged_is_the_same_as_arrays(spark):
+    import random
+
+    r = random.Random(5)
+    hits, gold, queries = [], [], []
+    for q in range(30):
+        rel = sorted({r.choice(["d1", "d2", "d1::0000", "d2::0001", "z"]) for _ in range(r.randint(0, 4))})
+        queries.append((str(q), rel, r.choice(["a", None])))
+        gold += [(str(q), x) for x in rel]
+        for rank in range(1, r.randint(1, 7)):
+            d = r.choice(["d1", "d2", "d3"])
+            hits.append((str(q), rank, f"{d}::{r.randrange(2):04d}", r.choice([d, None])))
+    hits = spark.createDataFrame(hits, "query_id string, rank int, chunk_id string, doc_id string").dropDuplicates(["query_id", "chunk_id"])
+    queries = spark.createDataFrame(queries, "query_id string, relevant_ids array<string>, domain string")
+    gold = spark.createDataFrame(gold, "query_id string, relevant_id string")
+    for k in (1, 3, 5):
+        a, b = evaluate.per_query(evaluate.hit_ids(hits, queries), k), evaluate.judged(hits, gold, queries, k)
+        show = lambda x: sorted((r["query_id"], r["domain"], round(r["rr"], 9), round(r["recall"], 9), round(r["ndcg"], 9)) for r in x.collect())
+        assert show(a) == show(b)
+
+
 def test_top_k_ways_agree(spark):
     import random
 
@@ -94,7 +296,15 @@ def test_top_k_ways_agree(spark):
     s = spark.createDataFrame([(i, vec()) for i in range(60)], "chunk_id bigint, vector array<double>")
     q = spark.createDataFrame([(i, vec()) for i in range(9)], "query_id bigint, query_vector array<double>")
     a = sorted(map(tuple, search.top_k(s, q, 4).collect()))
-    assert a == sorted(map(tuple, search.top_k(s, q, 4, broadcast_queries=2).collect())) and len(a) == 36
+    assert a == sorted(map(tuple, search.top_k(s, q, 4, query_bytes=64).collect())) and len(a) == 36
+    dot = lambda x, y: round(sum(i * j for i, j in zip(x, y)), 12)
+    rows, asked = s.collect(), q.collect()
+    want = [(x["query_id"], *t) for x in asked for t in [(v, score, i) for i, (score, v) in enumerate(sorted(((dot(y["vector"], x["query_vector"]), y["chunk_id"]) for y in rows), key=lambda t: (-t[0], t[1]))[:4], 1)]]
+    assert a == sorted(want)
+    held = search.HELD_ROWS
+    search.HELD_ROWS = 1
+    assert a == sorted(map(tuple, search.top_k(s.repartition(3), q, 4).collect()))
+    search.HELD_ROWS = held
     one = q.first()
     assert [x[1:] for x in a if x[0] == one["query_id"]] == sorted(map(tuple, search.nearest(s, one["query_vector"], 4).collect()), key=lambda t: t[0]) or {x[1] for x in a if x[0] == 0} == {t[0] for t in search.nearest(s, one["query_vector"], 4).collect()}
     with pytest.raises(Exception, match="different sizes"):
@@ -109,8 +319,33 @@ def test_metrics(spark):
 
 
 def test_embedders():
-    v = embed.Hashed(64).vectors(["salam dünya", ""])
-    assert abs(sum(x * x for x in v[0]) - 1) < 1e-9 and len(v[1]) == 64
+    import hashlib
+    import math
+    import random
+
+    r = random.Random(4)
+    texts = ["salam dünya", "", "İI", "a", "ab", "😀😀😀 Ə"] + ["".join(r.choice("abcçəİI 😀\n") for _ in range(r.randint(0, 60))) for _ in range(100)]
+
+    def plain(t, dim):
+        t, v = " " + t.replace("İ", "i").replace("I", "ı").lower() + " ", [0.0] * dim
+        for n in (3, 4, 5):
+            for i in range(len(t) - n + 1):
+                d = hashlib.blake2b(t[i : i + n].encode(), digest_size=8).digest()
+                v[int.from_bytes(d[:4], "little") % dim] += 1.0 if d[4] & 1 else -1.0
+        return embed.unit([math.copysign(math.log1p(abs(x)), x) for x in v])
+
+    for dim in (64, 256):
+        v = embed.Hashed(dim).vectors(texts)
+        assert len(v) == len(texts) and all(abs(a - b) < 1e-12 for t, x in zip(texts, v) for a, b in zip(plain(t, dim), x))
+    asked = {}
+
+    class Sent(embed.OpenAI):
+        def send(self, payload):
+            asked.update(payload)
+            return {"data": [{"index": 0, "embedding": [1.0]}]}
+
+    Sent(dim=99, api_key="k").vectors(["x"])
+    assert asked["dimensions"] == 99 and asked["encoding_format"] == "float"
     with pytest.raises(ValueError):
         embed.embedders.create("openai", api_key=None)
 
@@ -152,8 +387,10 @@ def test_export_and_present(tmp_path):
         export.export([1], tmp_path / "y.json")
     r = [{"rank": i, "score": 0.5, "doc_id": d, "chunk_id": f"{d}::0000", "text": "söz " * 100, "metadata": {"section_heading": "H"}} for i, d in ((1, "a"), (2, "b"), (3, "c"))]
     out = Presenter().render("sual", r, {"b"})
-    assert "CAVAB  #1" in out and "HIT    #2" in out and "score=0.5000" in out and "[H]" in out and "…" in out
-    assert Presenter(style="markdown").render("sual", r).count("\n| ") == 5
+    assert out.startswith("Q: sual\n") and "  CAVAB #1" in out and "  HIT   #2" in out and "score=0.5000" in out and "[H]" in out and "…" in out
+    table = Presenter(style="markdown", metadata_fields=["section_heading"]).render("", r).split("\n")
+    assert table[0] == "|  | rank | score | doc | chunk | section_heading | text |" and table[1] == "|" + "---|" * 7 and len(table) == 5
+    assert Presenter(style="compact", max_text_chars=0).format_result(r[0], set()) == ["  CAVAB #1  score=0.5000  doc=a  chunk=a::0000  [H]"]
     with pytest.raises(ValueError):
         Presenter(style="x")
 
@@ -167,5 +404,10 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["chunk", str(tmp_path / "d.txt"), "--domain", "legal"], spark) == 0
     (tmp_path / "q.json").write_text(json.dumps([{"query": "ad", "relevant_ids": ["d"]}]))
     assert cli.main(["eval", str(tmp_path / "q.json"), "--out", str(tmp_path / "r.json"), *s], spark) == 0
+    assert cli.main(["eval", str(tmp_path / "q.json"), "--store", str(tmp_path / "none")], spark) == 1
+    assert cli.main(["index", str(tmp_path / "d.txt"), "--backend", "memory", "--save", str(tmp_path / "i.json")], spark) == 0
+    other = ["--store", str(tmp_path / "untouched"), "--load", str(tmp_path / "i.json")]
+    assert cli.main(["search", "ad", *other], spark) == 0 and not (tmp_path / "untouched").exists()
     out = capsys.readouterr().out
+    assert "[general] d" in out
     assert "d::0000" in out and json.loads((tmp_path / "r.json").read_text())["aggregate"]["recall"] == 1.0
