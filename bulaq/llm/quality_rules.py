@@ -63,7 +63,7 @@ def statistics(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cols = [
         np.log1p(words), share(chars - by(A.SPACE, A.NEWLINE), words), share(by(A.UPPER), per_doc(letter, offsets)), share(by(A.DIGIT), chars),
         share(by(A.PUNCT), chars), share(by(A.SYMBOL), chars), share(by(A.SPACE, A.NEWLINE), chars), share(by(A.STOP), words), np.log1p(share(words, n_lines)),
-        1 - share(distinct_lines, n_lines), distinct_words / w, np.bincount(doc[(letters == 0) & (symbols > 0)], minlength=n) / w,
+        np.where(n_lines > 0, 1 - share(distinct_lines, n_lines), 0.0), distinct_words / w, np.bincount(doc[(letters == 0) & (symbols > 0)], minlength=n) / w,
         np.bincount(doc[(letters > 0) & (symbols > 0)], minlength=n) / w, np.bincount(doc[(letters > 1) & (uppers == letters)], minlength=n) / w, share(per_doc(codes == 33, offsets), words),
     ]
     return np.stack(cols, 1).astype(float)

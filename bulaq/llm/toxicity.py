@@ -146,6 +146,8 @@ def features(codes: np.ndarray, offsets: np.ndarray, mined: tuple | None = None)
     inner[0] = False
     inner[:-1] &= letter[1:] | odd[1:]
     inner[-1] = False
+    some = np.flatnonzero(np.diff(offsets))  # what stands beside a text is no neighbour
+    inner[offsets[some]] = inner[offsets[some + 1] - 1] = False
     s2, e2 = A.word_spans(~gap, offsets)
     count = np.zeros(len(codes) + 1, np.int64)
     np.cumsum(inner, out=count[1:])

@@ -1,14 +1,19 @@
-"""The corpus pipeline: quality classifier, near-dedup, decontamination, sanitisation, token ids."""
+"""The corpus pipeline: quality classifier, near-dedup, decontamination, sanitisation, token ids.
 
-from __future__ import annotations
+Defined results: a null or empty text is rejected by the first stage, so later stages see none; a row with a null
+``doc_id`` is kept where its text is (it is in no group of near duplicates); repeated rows are one document to the
+near-dedup stage, which keeps or drops all rows of an id; without labels every text that has a character passes the
+first stage; without benchmark items nothing is contaminated; an empty table gives an empty result; columns that
+documents have besides the usual ones are carried through all stages, whatever their names.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bulaq.llm import decontaminate, kneser, sanitize, simhash, spiece
-from bulaq.llm.tables import shared_dir, table
+from bulaq.llm.tables import discard, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,17 +53,18 @@ STAGES = [
     ("sentencepiece", tokens),
 ]
 
-#: No stage but decontamination can be expressed in SQL; tests hold each against a brute-force version.
+#: No stage but decontamination can be expressed in SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's rows are written into the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage's rows are written into the shared folder, read by the next and then deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = staged(docs)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

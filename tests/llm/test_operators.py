@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -135,6 +136,139 @@ def test_toxicity_features():
     assert all(v == 0 for v in f("").values())
 
 
+def walked(t, x):
+    """The margin of one row, node by node."""
+    total = t.base
+    for n in t.roots:
+        while t.feature[n] >= 0:
+            n = t.left[n] if x[t.feature[n]] <= t.threshold[n] else t.right[n]
+        total += t.value[n]
+    return total
+
+
+def class_of(c):
+    k = unicodedata.category(c)
+    if c == "\n":
+        return "newline"
+    if c.isspace():
+        return "space"
+    if k in ("Lu", "Lt"):
+        return "upper"
+    if k[0] in "LM":
+        return "lower"
+    if k[0] == "N":
+        return "digit"
+    if c in ".!?…。":
+        return "stop"
+    return "symbol" if k[0] == "S" or k[0] == "P" and c in "#%&*@\\_" else "punct" if k[0] == "P" else "other"
+
+
+def units_of(w):
+    """A word, and its beginnings, which differ from the words that are spelt like them."""
+    return [(w, True), *((w[:k], False) for k in toxicity.PREFIXES if len(w) > k)]
+
+
+def key_of(unit):
+    w, whole = unit
+    codes = np.frombuffer((w if whole else w + "x").encode("utf-32-le"), np.uint32)
+    return int(toxicity.beginnings(codes, np.array([0]), np.array([len(codes)]))[0, 0 if whole else 1 + toxicity.PREFIXES.index(len(w))])
+
+
+def brute_toxicity(text, mined):
+    """The features of one text, word by word."""
+    words, at = [], 0
+    for m in re.finditer(r"[^\W_]+", text):
+        words.append((m.group(), m.start(), m.end()))
+    low = [w.lower() for w, _, _ in words]
+    n = max(len(words), 1)
+    heavy = [max(mined.get(u, 0) for u in units_of(w)) for w in low]
+    fixed = [w in toxicity.LEXICON for w in low]
+    you = [i for i, w in enumerate(low) if w in toxicity.SECOND]
+    close = sum((fixed[i] or heavy[i] > 0) and any(abs(i - j) <= toxicity.NEAR for j in you) for i in range(len(low)))
+    hidden_words = {w for w in toxicity.LEXICON if len(w) > 3} | {w[:i] + w[i + 1 :] for w in toxicity.LEXICON if len(w) > 4 for i in range(1, len(w) - 1)}
+    hidden = odd = 0
+    for m in re.finditer(r"\S+", text):
+        t = m.group()
+        letter = [class_of(c) in ("lower", "upper") for c in t]
+        if sum(letter) >= 2 and not all(letter[1:-1]) and len(t) > 2:
+            odd += 1
+            read = "".join("oieastas"["013457@$".index(c)] if c in "013457@$" else c.lower()[0] if c.isalnum() else "" for c in t)
+            first = next((i for i, (_, a, _) in enumerate(words) if a >= m.start()), None)
+            plain = first is not None and words[first][1] < m.end() and fixed[first]
+            hidden += read in hidden_words and not plain
+    loud = sum(len(w) > 1 and all(class_of(c) == "upper" for c in w) for w, _, _ in words)
+    marks = sum(class_of(c) in ("punct", "symbol") for c in text)
+    rates = [sum(h > 0 for h in heavy), sum(heavy), sum(fixed), hidden, sum(fixed) + hidden, close, len(you), loud, text.count("!"), marks, odd]
+    return [math.log1p(1000 * c / n) for c in rates] + [math.log1p(len(words))]
+
+
+def odd_texts(seed, n):
+    r = random.Random(seed)
+    parts = ["idiot", "1d1ot", "m*ron", "you", "YOU", "Trottel", "w0rthless", "a.b", "x-y", "!", "!!", "...", "#", "%%%", "é", "Ünü", "42", "a1", "\n", "\n\n", " ", "  ", "zukomlak", "zukompe", ",", "(ok)", "😀", "-", "x" * 60 + "1d1ot"]
+    return ["".join(r.choice([r.choice(parts), r.choice(WORDS)]) + r.choice([" ", " ", " ", "", "\n"]) for _ in range(r.randint(0, 40))) for _ in range(n)]
+
+
+def test_toxicity_against_brute_force(spark, labelled):
+    """Features of any text in any company, the mined words, and the rows of the query."""
+    docs, labels = labelled
+    keys, weights = toxicity._mined(docs, labels, 20_000)
+    rows = {x["doc_id"]: x["text"] for x in docs.collect()}
+    toxic = {x["doc_id"]: x["toxic"] for x in labels.collect()}
+    half = [x["doc_id"] for x in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) < 2).collect()]
+    a, b = Counter(), Counter()
+    for i in half:
+        units = {u for w in re.findall(r"[^\W_]+", rows[i].lower()) for u in units_of(w)}
+        (a if toxic[i] else b).update(units)
+    na = sum(toxic[i] for i in half)
+    nb = len(half) - na
+    want = {}
+    for u in a:
+        share = (a[u] + b[u]) / (na + nb)
+        g = 2 * sum(c * math.log(c / (share * n)) for c, n in ((a[u], na), (b[u], nb)) if c)
+        odds = (a[u] + 0.5) / (na + 1) / ((b[u] + 0.5) / (nb + 1))
+        if a[u] >= 3 and odds >= toxicity.LEAST_ODDS and g >= toxicity.LEAST_G:
+            want[u] = math.log(odds)
+    assert dict(zip(keys.tolist(), weights)) == pytest.approx({key_of(u): w for u, w in want.items()}) and ("zukom", False) in want
+    mined = (A.HashIndex(keys), weights)
+    texts = odd_texts(41, 300) + list(rows.values())[:40]
+    got = toxicity.features(*A.code_points(pa.array(texts)), mined)
+    brute = np.array([brute_toxicity(t, want) for t in texts])
+    assert np.allclose(got, brute) and np.allclose(np.concatenate([toxicity.features(*A.code_points(pa.array([t])), mined) for t in texts]), brute)
+    model = toxicity.fit(docs, labels)
+    score = lambda t: float(np.interp(walked(model.trees, brute_toxicity(t, want)), *model.knots))
+    flagged, name = toxicity.flagged(docs, labels)
+    assert {x["doc_id"]: x[name] for x in flagged.collect()} == pytest.approx({i: score(t) for i, t in rows.items() if score(t) > toxicity.THRESHOLD})
+
+
+def brute_quality(text):
+    kind = [class_of(c) for c in text]
+    count = Counter(kind)
+    words, lines = text.split(), [x for x in text.split("\n") if x]
+    n, chars = max(len(words), 1), max(len(text), 1)
+    of = lambda w, *k: sum(class_of(c) in k for c in w)
+    each = [(of(w, "lower", "upper"), of(w, "upper"), of(w, "symbol")) for w in words]
+    blank = count["space"] + count["newline"]
+    return [
+        math.log1p(len(words)), (len(text) - blank) / n, count["upper"] / max(count["lower"] + count["upper"], 1), count["digit"] / chars, count["punct"] / chars, count["symbol"] / chars, blank / chars, count["stop"] / n,
+        math.log1p(len(words) / max(len(lines), 1)), 1 - len(set(lines)) / len(lines) if lines else 0.0, len(set(words)) / n, sum(x == 0 and z > 0 for x, _, z in each) / n,
+        sum(x > 0 and z > 0 for x, _, z in each) / n, sum(x > 1 and x == y for x, y, _ in each) / n, text.count("!") / n,
+    ]
+
+
+def test_quality_rules_against_brute_force(spark, labelled):
+    """Statistics of any text in any company, and the rows of the query."""
+    docs, labels = labelled
+    rows = {x["doc_id"]: x["text"] for x in docs.collect()}
+    texts = odd_texts(42, 300) + ["", "\n", " "] + list(rows.values())[:40]
+    brute = np.array([brute_quality(t) for t in texts])
+    assert np.allclose(quality_rules.statistics(*A.code_points(pa.array(texts))), brute)
+    assert np.allclose(np.concatenate([quality_rules.statistics(*A.code_points(pa.array([t]))) for t in texts]), brute)
+    trees = quality_rules.fit(docs, labels)
+    score = lambda t: 1 / (1 + math.exp(-walked(trees, brute_quality(t))))
+    kept, name = quality_rules.keep(docs, labels)
+    assert {x["doc_id"]: x[name] for x in kept.collect()} == pytest.approx({i: score(t) for i, t in rows.items() if score(t) >= quality_rules.THRESHOLD and t.strip()})
+
+
 def test_trees_are_monotone_and_isotonic_is_least_squares():
     r = np.random.default_rng(1)
     x = r.normal(size=(600, 3))
