@@ -35,7 +35,7 @@ from .tables import column_of, discard, extended, id_side, kept, scope, spare, s
 
 ORDER = 5
 BITS = 12
-BROADCAST_ENTRIES = 8_000_000
+BROADCAST_ENTRIES = 4_000_000
 BROADCAST_LANGUAGES = 100_000
 PRIOR = 60
 QUANTILE = 0.99
