@@ -321,6 +321,11 @@ def alias_resolve(spark, d):
     return load.documents_of(r).select("doc_id", "text", "domain", F.col("extra")["source"].alias("source"))
 
 
+@_query("SELECT doc_id::VARCHAR AS doc_id, lang AS domain FROM documents ORDER BY doc_id::VARCHAR LIMIT 500")
+def first_documents(spark, d):
+    return load.first(_documents(spark, d), 500).select("doc_id", "domain")
+
+
 def _qrels(spark, d) -> tuple[DataFrame, DataFrame]:
     docs = _documents(spark, d).select("doc_id", "domain")
     q = _t(spark, d, "labels").select(F.col("doc_id").cast("string").alias("query_id"), F.lit("q").alias("query"), F.array(F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string"), F.lit("missing")).alias("relevant_ids"), (F.col("quality") == 1).alias("answerable"))

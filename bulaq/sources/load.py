@@ -109,6 +109,11 @@ def load_documents(spark: SparkSession, path: str, default_domain: str = "genera
     return documents_of(records(spark, path), default_domain, field_map)
 
 
+def first(documents: DataFrame, n: int) -> DataFrame:
+    """The ``n`` documents with the smallest ids; each task keeps no more than ``n`` rows."""
+    return documents.orderBy("doc_id").limit(n)
+
+
 def from_texts(spark: SparkSession, texts: list[str], domain: str = "general", ids: list[str] | None = None) -> DataFrame:
     """Documents of plain strings; ids are doc00000 and on where none are given."""
     ids = ids if ids is not None else [f"doc{i:05d}" for i in range(len(texts))]
@@ -145,4 +150,4 @@ def load_queries(spark: SparkSession, path: str, documents: DataFrame | None = N
     return queries_of(records(spark, path), documents, field_map)
 
 
-__all__ = ["documents_of", "formats", "from_texts", "load_documents", "load_queries", "queries_of", "register_format"]
+__all__ = ["documents_of", "first", "formats", "from_texts", "load_documents", "load_queries", "queries_of", "register_format"]
