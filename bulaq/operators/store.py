@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,10 +151,7 @@ class ParquetStore(FrameStore):
         if not parts:
             return self.spark.createDataFrame([], full)
         read = lambda p: self.spark.read.schema(full).option("basePath", f"{self.path}/part={p}").parquet(f"{self.path}/part={p}")
-        out = read(parts[0])
-        for p in parts[1:]:
-            out = out.union(read(p))
-        return out
+        return reduce(DataFrame.union, map(read, parts))
 
     def scan(self) -> DataFrame:
         """All rows, with ``part_domain``, by which a filter on the domain skips files."""
@@ -180,7 +178,21 @@ class ParquetStore(FrameStore):
         return self._read([part]).count()
 
     def upsert(self, df: DataFrame, seq: str | None = None) -> None:
-        self._change(lambda parts: [self._write(merged(self._read(parts).drop("part_domain"), df.select(*self.schema.names), seq=seq))])
+        """Writes the new rows as a part of their own, and of the old parts again only those that have one of their ids."""
+        part = self._write(last_of_each(df, seq=seq))
+        ids = self._read([part]).select("chunk_id")
+
+        def parts_of(parts: list[str]) -> list[str]:
+            named = [self._read([p]).select("chunk_id", F.lit(p).alias("part")) for p in parts]
+            touched: set[str] = set()
+            if named:
+                touched = {r["part"] for r in reduce(DataFrame.union, named).join(ids, "chunk_id", "left_semi").select("part").distinct().collect()}
+            rest = [p for p in parts if p not in touched]
+            if touched:
+                rest.append(self._write(self._read(sorted(touched)).join(ids, "chunk_id", "left_anti")))
+            return self._compacted([*rest, part])
+
+        self._change(parts_of)
 
     def replace(self, df: DataFrame) -> None:
         part = self._write(df)

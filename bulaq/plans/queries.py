@@ -29,8 +29,17 @@ def _query(sql: str | None = None):
     return add
 
 
+#: Tables whose rows take long, and the columns that tell their rows apart.
+_HEAVY = {"documents": "doc_id", "embeddings": "vec_id"}
+
+
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table; a heavy one that has fewer splits than the session has cores, hence few bytes, is spread over them."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _HEAVY and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, _HEAVY[name])
+    return df
 
 
 def _documents(spark, d) -> DataFrame:
