@@ -13,8 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Tables of texts, whose rows take long, and the columns that tell their rows apart.
+_TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that has fewer splits than the session has cores, hence few bytes, is spread over them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _TEXTS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, _TEXTS[name])
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -42,8 +42,9 @@ def awkward(spark):
     long = " ".join(prose(r, 50) for _ in range(800))
     same = prose(r, 60)
     rows = [row(1, same), row(1, same), row(2, None), row(3, ""), row(4, "  \n"), row(None, prose(r, 40)), row(5, long, None), row(6, "😀 a@b.com 😀"), row(7, "%%% ### &&&")]
-    rows = [(*x, 1.0, True, "b", 0, "c", [1]) for x in rows]
-    return frame(spark, rows, ", lm_score double, kept boolean, block string, nll int, code string, ids array<int>")
+    rows = [(*x, 1.0, True, "b", 0, "c", [1], *"tqiwcgpmn") for x in rows]
+    more = ", toxicity string, quality_score string, item_id string, windows string, clean string, gone string, print string, marks string, n_entities string"
+    return frame(spark, rows, ", lm_score double, kept boolean, block string, nll int, code string, ids array<int>" + more)
 
 
 @pytest.fixture(scope="module")
@@ -108,7 +109,10 @@ def test_decontamination(spark, awkward):
     got = {tuple(x) for x in decontaminate.matches(docs, bench).collect()}
     assert got == brute() == {tuple(x) for x in decontaminate.matches(docs, bench, automaton_symbols=50).collect()}
     assert sorted(x["doc_id"] for x in decontaminate.decontaminate(docs, bench).collect()) == [1, 3, 5]
-    assert decontaminate.decontaminate(awkward, bench).count() == awkward.count()
+    assert decontaminate.decontaminate(awkward, bench).count() == awkward.count() and decontaminate.decontaminate(awkward, bench).columns == awkward.columns
+    hit = awkward.where("doc_id = 1").first()["text"]
+    found = decontaminate.matches(awkward, spark.createDataFrame([(1, hit)], "item_id bigint, text string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, len(decontaminate.patterns(hit)))] * 2  # repeated rows, each by itself
     assert decontaminate.matches(docs, empty_like(spark, bench)).count() == 0 and decontaminate.decontaminate(empty_like(spark, docs), bench).count() == 0
 
 
@@ -122,7 +126,8 @@ def test_toxicity(spark, labelled, awkward):
     toxic = {i for i in got if i % 7 == 0}
     assert np.mean([got[i] > 0.5 for i in toxic]) > 0.9 and np.mean([got[i] > 0.5 for i in got if i not in toxic]) < 0.02
     out, name = toxicity.score(awkward, labels)
-    assert out.where("text is null").first()[name] is None and out.count() == awkward.count()
+    assert name == "toxicity_" and out.where("text is null").first()[name] is None and out.count() == awkward.count()
+    assert toxicity.flagged(awkward, labels)[0].columns == [*awkward.columns, "toxicity_"]
     assert toxicity.flagged(empty_like(spark, docs), labels)[0].count() == 0 and toxicity.flagged(docs, empty_like(spark, labels))[0].count() == 0
 
 
