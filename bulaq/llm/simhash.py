@@ -8,7 +8,8 @@ most one bit. So each segment is indexed by all of its one-wildcard variants (th
 equality join on (segment, place of the wildcard, other bits) meets every such pair. Equal signatures are joined
 first, so that thousands of exact copies are one entry of the index. Within a bucket, each component of the signatures
 grows against its unvisited members only, from the smallest signature: no bucket is capped, a tight group of n members
-costs about n comparisons and gives n - 1 candidate edges, and its buckets give the same ones.
+costs about n comparisons and gives n - 1 candidate edges, and its buckets give the same ones. A bucket of more than
+``BLOCK`` signatures is compared in pairs of blocks, each in a task of its own, so that no task holds it whole.
 
 Close signatures are no proof. So each candidate edge is verified
 on the two texts: the sets of their runs of ``SHINGLE`` words need a Jaccard similarity of ``MIN_JACCARD``. Where a
@@ -169,36 +170,89 @@ def _bucket_edges(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> np
     return np.concatenate(found) if found else np.zeros((0, 4), A.U64)
 
 
-def _verify(k: int):
-    """Buckets arrive sorted by key; the last one of a batch is carried on to the next."""
+def _verify(k: int, most: int | None):
+    """Buckets arrive sorted by key; the last one of a batch is carried on to the next.
+
+    Rows are candidate edges (alo, ahi, blo, bhi); a bucket of more than ``most`` signatures is handed over unchanged
+    instead, as rows (key, number of the block, lo, hi) that are marked ``hot``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], [], []]
-
-        def edges(parts: list[np.ndarray]) -> pa.RecordBatch:
-            e = _bucket_edges(parts[0], parts[1].view(A.U64), parts[2].view(A.U64), k)
-            turn = (e[:, 0] > e[:, 2]) | (e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3])
-            e[turn] = e[turn][:, [2, 3, 0, 1]]
-            e = np.unique(e, axis=0).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i])) for i in range(4)], names=["alo", "ahi", "blo", "bhi"])
+        size, hot, block = 0, None, 0
+
+        def out(rows: np.ndarray, mark: bool) -> pa.RecordBatch:
+            rows = rows.view(np.int64)
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(4)), pa.array(np.full(len(rows), mark))], names=["alo", "ahi", "blo", "bhi", "hot"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            """The edges of what is held, or one more block of a hot bucket."""
+            nonlocal held, size, block
+            if size:
+                key, lo, hi = (np.concatenate(h) for h in held)
+                held, size = [[], [], []], 0
+                if hot is not None:
+                    yield out(np.stack([key, np.full(len(key), block), lo, hi], 1), True)
+                    block += 1
+                else:
+                    e = _bucket_edges(key, lo.view(A.U64), hi.view(A.U64), k)
+                    turn = (e[:, 0] > e[:, 2]) | (e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3])
+                    e[turn] = e[turn][:, [2, 3, 0, 1]]
+                    yield out(np.unique(e, axis=0), False)
+
+        def hold(cols: list[np.ndarray]) -> None:
+            nonlocal size
+            for h, c in zip(held, cols):
+                h.append(c)
+            size += len(cols[0])
 
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(3)]
             if not len(cols[0]):
                 continue
+            start = 0
+            if hot is not None:  # the rest of the hot bucket
+                start = int(np.searchsorted(cols[0], hot, side="right"))
+                hold([c[:start] for c in cols])
+                if start < len(cols[0]) or size >= most:
+                    yield from done()
+                if start == len(cols[0]):
+                    continue
+                hot = None
             cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-            if cut or (held[0] and held[0][-1][-1] != cols[0][0]):
-                whole = [np.concatenate([*h, c[:cut]]) for h, c in zip(held, cols)]
-                held = [[], [], []]
-                yield edges(whole)
-            for h, c in zip(held, cols):
-                h.append(c[cut:])
-        if held[0]:
-            yield edges([np.concatenate(h) for h in held])
+            if cut > start or size and held[0][-1][-1] != cols[0][start]:
+                hold([c[start : max(cut, start)] for c in cols])
+                yield from done()
+                start = max(cut, start)
+            hold([c[start:] for c in cols])
+            if most is not None and size >= most and len(held[0]) and held[0][0][0] == held[0][-1][-1]:
+                hot, block = held[0][-1][-1], 0
+                yield from done()
+        yield from done()
 
     return run
 
 
+#: Signatures of one bucket that a task compares at most; a larger one is compared in pairs of blocks, in tasks of their own.
+BLOCK = 2_000_000
+
+
+def _candidates(keyed: DataFrame, k: int, most: int) -> DataFrame:
+    """(alo, ahi, blo, bhi), staged: edges that span the components of each bucket of (key, lo, hi)."""
+    kind = "alo bigint, ahi bigint, blo bigint, bhi bigint, hot boolean"
+    ends = ["alo", "ahi", "blo", "bhi"]
+    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(k, most), kind).distinct())
+    edges, hot = found.where("not hot").select(*ends), found.where("hot")
+    if hot.isEmpty():
+        return edges
+    hot = hot.select(F.col("alo").alias("key"), F.col("ahi").alias("block"), F.col("blo").alias("lo"), F.col("bhi").alias("hi"))
+    many = hot.groupBy("key").agg(F.max("block").alias("last"))
+    each = hot.join(many, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")))
+    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    more = each.select(pair.alias("key"), "lo", "hi").repartition("key").sortWithinPartitions("key").mapInArrow(_verify(k, None), kind)
+    return staged(edges.union(more.select(*ends)).distinct())
+
+
 def shingles(codes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The distinct hashes of each text's runs of SHINGLE folded words; a shorter text is one run."""
     low = A.folded()[codes]
@@ -242,27 +296,24 @@ def _compared(text: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(both.select("a", "b", "a_text", "b_text").mapInArrow(_compare, "a bigint, b bigint, near boolean"))
 
 
-def groups(docs: DataFrame, k: int = MAX_DISTANCE) -> DataFrame:
+def groups(docs: DataFrame, k: int = MAX_DISTANCE, block: int = BLOCK) -> DataFrame:
     """(doc_id, kept_doc_id) for every document of a group of two or more; the smallest doc_id of the group is kept.
 
     A group is a component of the graph whose edges join texts with signatures that differ in at most ``k`` bits and
     with a Jaccard similarity of at least ``MIN_JACCARD``.
     """
     with scope():
-        return kept(_groups(docs, k))
+        return kept(_groups(docs, k, block))
 
 
-def _groups(docs: DataFrame, k: int) -> DataFrame:
+def _groups(docs: DataFrame, k: int, block: int) -> DataFrame:
     text = docs.select(column_of(docs, "doc_id", "bigint"), column_of(docs, "text", "string")).where("doc_id is not null and text is not null")
     text = text.withColumn("print", F.xxhash64("text"))
     signed = staged(text.mapInArrow(_sign, "doc_id bigint, print bigint, lo bigint, hi bigint"))
     nodes = staged(signed.groupBy("lo", "hi", "print").agg(F.min("doc_id").alias("rep")))
     distinct = staged(nodes.groupBy("lo", "hi").agg(F.min(F.struct("rep", "print")).alias("of")).select("lo", "hi", "of.rep", "of.print"))
     keyed = distinct.select("lo", "hi").mapInArrow(_variants(k), "key bigint, lo bigint, hi bigint")
-    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(
-        _verify(k), "alo bigint, ahi bigint, blo bigint, bhi bigint"
-    )
-    pairs = staged(pairs.distinct())
+    pairs = _candidates(keyed, k, block)
     a, b = (distinct.select(F.col("lo").alias(f"{n}lo"), F.col("hi").alias(f"{n}hi"), F.col("rep").alias(n), F.col("print").alias(f"{n}_print")) for n in "ab")
     ends = ["a", "a_print", "b", "b_print"]
     named = pairs.join(a, ["alo", "ahi"]).join(b, ["blo", "bhi"]).select(*ends)

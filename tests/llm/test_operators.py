@@ -344,6 +344,43 @@ def test_near_dedup(spark, awkward):
     assert simhash.deduplicate(empty_like(spark, docs)).count() == 0
 
 
+def test_buckets_in_blocks(spark):
+    """A bucket of any size, held in blocks of any size and cut by batches of any size, gives the same components."""
+    r = np.random.default_rng(13)
+    base = r.integers(0, 2**62, (12, 2), dtype=np.uint64)
+    sig = base[r.integers(0, 12, 400)]
+    for i in range(400):
+        for bit in r.choice(128, 3, replace=False):
+            sig[i, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    key = np.where(r.random(400) < 0.6, 7, r.integers(0, 20, 400))  # one key has most of the rows
+    rows = [(int(k), int(a), int(b)) for k, (a, b) in zip(key, sig.view(np.int64))]
+    keyed = spark.createDataFrame(rows, "key bigint, lo bigint, hi bigint")
+
+    def parts(edges):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {frozenset(y for y in root if find(y) == x) for x in {find(x) for x in list(root)}}
+
+    near = lambda a, b: ((a[1] ^ b[1]) & (2**64 - 1)).bit_count() + ((a[2] ^ b[2]) & (2**64 - 1)).bit_count() <= 11
+    want = parts([(a[1:], b[1:]) for a in rows for b in rows if a[0] == b[0] and a[1:] < b[1:] and near(a, b)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most, batch in ((10**6, 10_000), (50, 10_000), (50, 17), (1, 64), (241, 3)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = simhash._candidates(keyed, 11, most).collect()
+            assert parts([((x["alo"], x["ahi"]), (x["blo"], x["bhi"])) for x in got if (x["alo"], x["ahi"]) != (x["blo"], x["bhi"])]) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_long_unrelated_texts_stay_apart(spark):
     """Close signatures of unrelated texts are no edge, and do not hide the near copies behind them."""
     r = random.Random(15)
