@@ -6,6 +6,7 @@ import time
 import uuid
 from collections.abc import Callable
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,27 @@ def merged(old: DataFrame, new: DataFrame, key: str = "chunk_id", seq: str | Non
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+class Store(Protocol):
+    """What the engine needs of a store; one that ranks by itself has ``search(queries, k, equal)`` too, one that knows
+    its ids better than by a scan ``missing(chunks)``."""
+
+    def scan(self) -> DataFrame: ...
+
+    def chunks(self) -> DataFrame: ...
+
+    def add_new(self, df: DataFrame) -> int: ...
+
+    def upsert(self, df: DataFrame, seq: str | None = None) -> None: ...
+
+    def replace(self, df: DataFrame) -> None: ...
+
+    def existing(self, ids: DataFrame) -> DataFrame: ...
+
+    def count(self) -> int: ...
+
+    def clear(self) -> None: ...
+
+
 class FrameStore:
     """Chunks of a DataFrame that the session holds: for indexes loaded from a file, and for tests."""
 

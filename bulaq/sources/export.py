@@ -5,7 +5,11 @@ from __future__ import annotations
 import csv
 import dataclasses
 import json
+import pickle
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 from ..registry import Registry
 
 writers = Registry("export format")
+#: Characters of a cell of a Markdown table.
+CELL = 160
 
 
 def register_export(suffix: str, writer: Callable[[Iterable[dict], Path], None]) -> None:
@@ -22,28 +28,33 @@ def register_export(suffix: str, writer: Callable[[Iterable[dict], Path], None])
 
 def plain(value):
     """Sets as sorted lists, tuples as lists, rows and records as dicts, all the way down."""
-    if isinstance(value, (set, frozenset)):
-        return [plain(v) for v in sorted(value)]
     if hasattr(value, "asDict"):
-        return plain(value.asDict())
-    if isinstance(value, dict):
-        return {k: plain(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [plain(v) for v in value]
+        value = value.asDict()
+    match value:
+        case dict():
+            return {k: plain(v) for k, v in value.items()}
+        case set() | frozenset():
+            return list(map(plain, sorted(value)))
+        case list() | tuple():
+            return list(map(plain, value))
     return value
 
 
+def as_record(item) -> dict:
+    """What an object says of itself: its own dict, a row, a dataclass or a dict."""
+    for known, to in ((lambda x: hasattr(x, "to_dict"), lambda x: x.to_dict()), (lambda x: isinstance(x, dict) or hasattr(x, "asDict"), lambda x: x), (dataclasses.is_dataclass, dataclasses.asdict)):
+        if not isinstance(item, type) and known(item):
+            return plain(to(item))
+    raise TypeError(f"Cannot export {type(item).__name__}")
+
+
 def to_records(items) -> Iterator[dict]:
-    rows = items.toLocalIterator() if isinstance(items, DataFrame) else [items] if isinstance(items, dict) or hasattr(items, "to_dict") else items
-    for item in rows:
-        if hasattr(item, "to_dict"):
-            yield plain(item.to_dict())
-        elif dataclasses.is_dataclass(item) and not isinstance(item, type):
-            yield plain(dataclasses.asdict(item))
-        elif isinstance(item, dict) or hasattr(item, "asDict"):
-            yield plain(item)
-        else:
-            raise TypeError(f"Cannot export {type(item).__name__}")
+    """Records of a DataFrame, row by row, of one object, or of many."""
+    if isinstance(items, DataFrame):
+        items = items.toLocalIterator()
+    elif isinstance(items, dict) or hasattr(items, "to_dict"):
+        items = [items]
+    return map(as_record, items)
 
 
 def _json(rows: Iterable[dict], path: Path) -> None:
@@ -60,28 +71,36 @@ def _jsonl(rows: Iterable[dict], path: Path) -> None:
         out.writelines(json.dumps(r, ensure_ascii=False) + "\n" for r in rows)
 
 
-def _table(rows: Iterable[dict]) -> tuple[list[str], list[list]]:
-    rows = list(rows)
-    names = list(dict.fromkeys(k for r in rows for k in r))
+@contextmanager
+def _table(rows: Iterable[dict]) -> Iterator[tuple[list[str], Iterator[list]]]:
+    """The names of all rows in the order of their first use, and the cells; rows wait in a file until all names are known."""
+    names: dict[str, None] = {}
     cell = lambda v: "" if v is None else json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list)) else v
-    return names, [[cell(r.get(n)) for n in names] for r in rows]
+    with tempfile.TemporaryFile() as held:
+        n = 0
+        for r in rows:
+            names.update(dict.fromkeys(r))
+            pickle.dump(r, held)
+            n += 1
+        held.seek(0)
+        yield list(names), ([cell(r.get(k)) for k in names] for r in (pickle.load(held) for _ in range(n)))
 
 
 def _csv(rows: Iterable[dict], path: Path) -> None:
-    names, cells = _table(rows)
-    with path.open("w", encoding="utf-8-sig", newline="") as out:
-        csv.writer(out).writerows([names, *cells])
+    with _table(rows) as (names, cells), path.open("w", encoding="utf-8-sig", newline="") as out:
+        writer = csv.writer(out)
+        writer.writerow(names)
+        writer.writerows(cells)
 
 
 def _markdown(rows: Iterable[dict], path: Path) -> None:
-    names, cells = _table(rows)
-
-    def cell(v) -> str:
-        s = str(v).replace("|", "\\|").replace("\n", " ")
-        return s if len(s) <= 160 else s[:157] + "…"
+    def short(v) -> str:
+        s = str(v).translate({ord("|"): "\\|", ord("\n"): " "})
+        return s if len(s) < CELL + 1 else f"{s[: CELL - 3]}…"
 
-    lines = [names, ["---"] * len(names), *([cell(c) for c in r] for r in cells)]
-    path.write_text("".join(f"| {' | '.join(line)} |\n" for line in lines), "utf-8")
+    with _table(rows) as (names, cells), path.open("w", encoding="utf-8") as out:
+        for line in chain([names, ["---"] * len(names)], (map(short, c) for c in cells)):
+            out.write(f"| {' | '.join(line)} |\n")
 
 
 for _suffix, _writer in ((".json", _json), (".jsonl", _jsonl), (".csv", _csv), (".md", _markdown)):
@@ -122,6 +141,6 @@ def markdown_row(*cells: Column) -> Column:
     """One row of a Markdown table as a Column."""
     def cell(c: Column) -> Column:
         s = F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-        return F.when(F.length(s) > 160, F.concat(F.left(s, F.lit(157)), F.lit("…"))).otherwise(s)
+        return F.when(F.length(s) > CELL, F.concat(F.left(s, F.lit(CELL - 3)), F.lit("…"))).otherwise(s)
 
     return F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, cells)), F.lit(" |"))

@@ -46,6 +46,23 @@ def test_load(spark, corpus, tmp_path):
     assert (r["doc_id"], r["date"], r["extra"]) == ("A-17", "2026-01-05", {"court": "k"})
 
 
+def test_own_formats(spark, tmp_path):
+    """Readers, writers and stores of the caller, by name."""
+    (tmp_path / "a.tsv").write_text("1\tBir mətn\n2\tİki", "utf-8")
+    load.register_format("tsv", lambda s, path: s.read.option("sep", "\t").schema("id string, body string").csv(path))
+    export.register_export(".txt", lambda rows, path: path.write_text("; ".join(r["a"] for r in rows)))
+    try:
+        assert [(r["doc_id"], r["text"]) for r in load.load_documents(spark, str(tmp_path / "a.tsv")).orderBy("doc_id").collect()] == [("1", "Bir mətn"), ("2", "İki")]
+        assert export.export([{"a": "x"}, {"a": "y"}], tmp_path / "o.txt").read_text() == "x; y"
+    finally:
+        load.formats._of.pop(".tsv"), export.writers._of.pop(".txt")
+    store.stores.register("own", lambda spark, path, namespace, dimension, embedder, flag=0: (path, namespace, dimension, embedder, flag))
+    assert Engine(spark, "p", backend="own", backend_options={"flag": 1}).store == ("p", "default", 256, "hashed-256", 1)
+    store.stores._of.pop("own")
+    with pytest.raises(TypeError, match="chunker"):
+        Engine(spark, "p", chunker=3)
+
+
 def test_queries(spark, tmp_path, corpus):
     q = [{"query_id": "q1", "question": "a", "source_doc_ids": ["d1"]}, {"id": "q2", "query": "b", "relevant_ids": ["d1"], "answerable": False}, {"id": "q3", "query": "c", "relevant_ids": ["missing"]}]
     q += [{"id": "q4", "query": "d", "source_doc_ids": None}, {"id": "q5", "query": "e", "relevant_ids": ["", None]}]
@@ -160,6 +177,7 @@ def test_store_versions(spark, tmp_path):
     assert only.count() == 8 and all("part_domain=b" in f for f in only.inputFiles() if "part_domain" in f and "=a" not in f)
     plan = only._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*part_domain", plan)
+    b.COMPACT = 10
     for _ in range(2):
         old = set(b.current()[1])
         b.upsert(rows(1).withColumn("text", F.lit("new")))
@@ -388,6 +406,10 @@ def test_export_and_present(tmp_path):
     assert export.export([], tmp_path / "e.jsonl").read_text() == ""
     with pytest.raises(ValueError):
         export.export([], tmp_path / "x.bin")
+    rows = [{"a": 1, "b": {"x": "ş"}}, {"c": None, "a": "q,\"r\""}]
+    assert export.export(rows, tmp_path / "x.csv").read_bytes().decode("utf-8") == '\ufeffa,b,c\r\n1,"{""x"": ""ş""}",\r\n"q,""r""",,\r\n'
+    assert export.export(rows, tmp_path / "y.md").read_text().split("\n")[:3] == ["| a | b | c |", "| --- | --- | --- |", '| 1 | {"x": "ş"} |  |']
+    assert json.loads(export.export(rows, tmp_path / "z.json").read_text()) == rows and export.export([], tmp_path / "n.json").read_text() == "[]"
     with pytest.raises(TypeError, match="Cannot export"):
         export.export([1], tmp_path / "y.json")
     r = [{"rank": i, "score": 0.5, "doc_id": d, "chunk_id": f"{d}::0000", "text": "söz " * 100, "metadata": {"section_heading": "H"}} for i, d in ((1, "a"), (2, "b"), (3, "c"))]
