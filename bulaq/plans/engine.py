@@ -18,6 +18,8 @@ from ..sources import load
 from .progress import ProgressBar
 
 assert remote  # its stores are registered by the import
+#: Ids that are sent to every executor at most, some 50 bytes each.
+BROADCAST_IDS = 2_000_000
 
 
 class Engine:
@@ -38,6 +40,7 @@ class Engine:
         self.chunker = chunkers.create(chunker, **(chunker_options or {})) if isinstance(chunker, str) else chunker
         if not callable(self.chunker):
             raise TypeError("chunker must be a name or a function of a DataFrame")
+        self.own_ids = isinstance(chunker, str) and chunker in ("two-pass", "recursive", "structural")
         self.normalizer = normalizer or Normalizer()
         self.enricher = enricher or (lambda chunks: enrich.enrich(chunks, header, default_year))
         options = {"dimension": self.embedder.dim, "embedder": self.embedder.name} | (backend_options or {})
@@ -55,9 +58,10 @@ class Engine:
         """
         new = self.chunks(documents)
         if skip_existing:
-            new = self.store.missing(new) if hasattr(self.store, "missing") else store.missing(new, self.store.scan())
-        position = F.struct(F.col("meta.position"), "start", "text")
-        new = store.last_of_each(new.withColumn("_seq", position), seq="_seq").drop("_seq")
+            new = self._missing(new, documents)
+        if not self.own_ids or not documents.groupBy("doc_id").count().where("count > 1").isEmpty():
+            position = F.struct(F.col("meta.position"), "start", "text")
+            new = store.last_of_each(new.withColumn("_seq", position), seq="_seq").drop("_seq")
         new = new.withColumn("vector", self.embedder.documents(F.col("embedding_text"), batch_size))
         with _watched(self.spark, "Indexing", progress):
             if skip_existing:
@@ -70,6 +74,19 @@ class Engine:
                 new.unpersist()
             return n
 
+    def _missing(self, new: DataFrame, documents: DataFrame) -> DataFrame:
+        """The chunks whose ids the store lacks. Ids it has of these documents are counted first: if there are none nothing
+        is joined, and if they are few they are sent, so that the texts of the new chunks stay where they are."""
+        if hasattr(self.store, "missing"):
+            return self.store.missing(new)
+        if not self.own_ids:
+            return store.missing(new, self.store.scan())
+        ids = self.store.scan().select("chunk_id", "doc_id").join(documents.select("doc_id").distinct(), "doc_id", "left_semi").select("chunk_id")
+        n = ids.count()
+        if not n:
+            return new
+        return store.missing(new, F.broadcast(ids) if n <= BROADCAST_IDS else ids)
+
     def add_texts(self, texts: list[str], domain: str = "general", ids: list[str] | None = None) -> int:
         return self.add_documents(load.from_texts(self.spark, texts, domain, ids))
 

@@ -77,6 +77,13 @@ def test_engine(spark, corpus, tmp_path):
     e = Engine(spark, str(tmp_path / "s"), default_year=2026)
     n = e.add_documents(corpus)
     assert n == e.count() == 3 and e.add_documents(corpus) == 0
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    other = corpus.withColumn("doc_id", F.concat(F.lit("new"), "doc_id"))
+    assert not re.search("Exchange|Join", plan(e._missing(e.chunks(other), other)))  # new documents: nothing to join
+    assert "BroadcastHashJoin" in plan(e._missing(e.chunks(corpus), corpus))
+    twice = corpus.where("doc_id = 'd1'").select("doc_id", F.concat(F.lit("Əvvəl. "), "text").alias("text"), "domain", "title", "date", "extra").union(corpus.where("doc_id = 'd1'"))
+    e9 = Engine(spark, str(tmp_path / "twice"))
+    assert e9.add_documents(twice) == e9.count() == e9.store.scan().select("chunk_id").distinct().count()
     top = e.search("mülkiyyət hüququ", 2).collect()
     assert top[0]["doc_id"] == "d1" and [r["rank"] for r in top] == [1, 2] and top[0]["score"] >= top[1]["score"] and "embedding_text" not in top[0]["metadata"]
     assert [r["doc_id"] for r in e.search("Bakı", 5, {"domain": "news"}).collect()] == ["d2"]
