@@ -331,7 +331,7 @@ def _groups(docs: DataFrame, k: int, block: int) -> DataFrame:
         members = nodes.join(part("rep"), "rep", "left").select("lo", "hi", "rep", "print", F.coalesce("rep_root", "rep").alias("part"))
         members = staged(members.join(parts, "part", "left_semi").select("lo", "hi", "rep", "print", "part"))
         keyed = members.mapInArrow(_variants(k), "key bigint, lo bigint, hi bigint, rep bigint, print bigint, part bigint")
-        x, y = keyed.alias("x"), keyed.alias("y")
+        x, y = keyed.hint("merge").alias("x"), keyed.alias("y")  # Spark takes the rows that Python makes to be as few as it gets
         close = F.bit_count(F.expr("x.lo ^ y.lo")) + F.bit_count(F.expr("x.hi ^ y.hi")) <= k
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & close)
         pairs = pairs.select(F.col("x.rep").alias("a"), F.col("x.print").alias("a_print"), F.col("y.rep").alias("b"), F.col("y.print").alias("b_print"))
