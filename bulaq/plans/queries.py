@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import chunking, embed, enrich, evaluate, search, store
+from ..shared import shared_dir
 from ..sources import export, load
 from . import present
 
@@ -378,8 +378,7 @@ def parquet_store(spark, d):
         F.concat(F.col("vec_id").cast("string"), F.lit("::0000")).alias("chunk_id"), F.col("vec_id").cast("string").alias("doc_id"), F.lit("x").alias("text"), F.lit(0).alias("start"), F.lit(1).alias("end"),
         struct.alias("meta"), F.create_map(F.lit("k"), F.lit("v")).alias("extra"), F.lit("x").alias("embedding_text"), F.col("embedding").cast("array<double>").alias("vector"),
     )
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bulaq-")
-    at = store.ParquetStore(spark, f"{base}/stores", uuid.uuid4().hex)
+    at = store.ParquetStore(spark, f"{shared_dir(spark)}/stores", uuid.uuid4().hex)
     at.add_new(rows)
     again = rows.where(F.col("doc_id").cast("bigint") % 4 == 0)
     at.upsert(again.withColumn("text", F.lit("y")).withColumn("vector", F.transform("vector", lambda x: -x)))
@@ -392,9 +391,8 @@ def parquet_store(spark, d):
 @_query("SELECT doc_id::VARCHAR AS doc_id, text, lang AS domain, source, n_chars::VARCHAR AS n_chars FROM documents WHERE text IS NOT NULL")
 def json_lines(spark, d):
     """Documents exported by all tasks as JSON Lines and loaded again, names of columns resolved, others kept as metadata."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bulaq-")
     docs = _t(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col("lang").alias("domain"), "source", "n_chars")
-    path = export.export_folder(docs, f"{base}/exports/{uuid.uuid4().hex}.jsonl")
+    path = export.export_folder(docs, f"{shared_dir(spark)}/exports/{uuid.uuid4().hex}.jsonl")
     return load.load_documents(spark, path).select("doc_id", "text", "domain", F.col("extra")["source"].alias("source"), F.col("extra")["n_chars"].alias("n_chars"))
 
 
