@@ -234,7 +234,7 @@ def _verify(k: int, most: int | None):
 
 
 #: Signatures of one bucket that a task compares at most; a larger one is compared in pairs of blocks, in tasks of their own.
-BLOCK = 2_000_000
+BLOCK = 50_000
 
 
 def _candidates(keyed: DataFrame, k: int, most: int) -> DataFrame:
