@@ -348,10 +348,10 @@ def gold_queries(spark, d):
     return load.queries_of(q, docs).select("query_id", F.array_join("relevant_ids", ",").alias("gold"), "domain")
 
 
-@_query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def skip_existing(spark, d):
-    docs = _t(spark, d, "documents")
-    return store.missing(docs, docs.where("doc_id % 3 = 0"), "doc_id").select("doc_id")
+    """The documents that have no label: what an index of the labelled ones lacks."""
+    return store.missing(_t(spark, d, "documents"), _t(spark, d, "labels"), "doc_id").select("doc_id")
 
 
 @_query("SELECT doc_id, CASE WHEN n_chars > 800 THEN upper(lang) ELSE lang END AS lang FROM documents UNION ALL SELECT -doc_id - 1, lang FROM documents WHERE n_chars > 800")
