@@ -6,6 +6,7 @@ Texts are handled as one array of code points per bounded run of rows, so that a
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -28,6 +29,16 @@ def as_text(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, "")
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: workers are reused, by stages that need theirs elsewhere."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def row_runs(column: pa.Array, limit: int = SUB_BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have at most ``limit`` bytes together, or one row that has more."""
     n = len(column)
@@ -40,6 +51,7 @@ def row_runs(column: pa.Array, limit: int = SUB_BATCH_CHARS) -> Iterator[tuple[i
         hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield lo, hi
         lo = hi
+    release()
 
 
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
