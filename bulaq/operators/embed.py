@@ -9,10 +9,13 @@ import os
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,13 +110,127 @@ class Hashed(Embedder):
         return list(v / np.where(norm > 0, norm, 1.0))
 
 
+#: Bytes of text that are made Python strings at once, unless one text has more.
+RUN_BYTES = 4_000_000
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have RUN_BYTES together at most, or one row that has more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + RUN_BYTES, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+class Grams:
+    """Counts of hashed character n-grams by text, as arrays. ``place`` gives the bucket of a gram (UTF-8) times two, plus its sign bit.
+
+    Texts are handled in runs of at most RUN_CHARS positions, so memory follows that and the longest single text. A gram is
+    packed into a word by dense numbers of the characters seen; places are kept in a table of SLOTS words, one gram a slot:
+    only grams that are not there are hashed, each once a run.
+    """
+
+    RUN_CHARS, RUN_TEXTS, SLOTS, LETTERS = 500_000, 1_000, 1 << 21, 1 << 12
+
+    def __init__(self, sizes: tuple[int, ...], dim: int, place: Callable[[bytes], int]):
+        if max(sizes) > 5:
+            raise ValueError("n-grams of five characters at most")
+        self.sizes, self.dim, self.place = sizes, dim, place
+        self._keys = None
+
+    def __getstate__(self):
+        return {"sizes": self.sizes, "dim": self.dim, "place": self.place, "_keys": None}
+
+    def _clear(self) -> None:
+        self._keys, self._places = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int64)
+        self._letter, self._letters = np.zeros(0x110000, np.uint16), 0
+
+    def _numbered(self, codes: np.ndarray) -> np.ndarray | None:
+        """Dense numbers of the characters; None if there are more than LETTERS different ones."""
+        new = np.unique(codes[self._letter[codes] == 0])
+        if self._letters + len(new) >= self.LETTERS:
+            self._clear()
+            new = np.unique(codes)
+            if len(new) >= self.LETTERS:
+                return None
+        self._letter[new] = np.arange(self._letters + 1, self._letters + 1 + len(new))
+        self._letters += len(new)
+        return self._letter[codes]
+
+    def _add(self, counts: np.ndarray, codes: np.ndarray, text: np.ndarray, left: np.ndarray, lo: int, hi: int) -> None:
+        """Counts the grams that start at lo .. hi - 1; ``left`` has the characters from a position to the end of its text."""
+        letters = self._numbered(codes[lo : hi + max(self.sizes) - 1])
+        if letters is None:
+            mid = (lo + hi) // 2
+            self._add(counts, codes, text, left, lo, mid)
+            self._add(counts, codes, text, left, mid, hi)
+            return
+        letters = np.append(letters, np.zeros(max(self.sizes), np.uint16)).astype(np.uint64)
+        for n in self.sizes:
+            at = np.flatnonzero(left[lo:hi] >= n)
+            key = np.full(hi - lo, n, np.uint64) << np.uint64(60)
+            for i in range(n):
+                key |= letters[i : i + hi - lo] << np.uint64(12 * i)
+            key = key[at]
+            slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) & (self.SLOTS - 1)
+            place = self._places[slot]
+            miss = np.flatnonzero(self._keys[slot] != key)
+            if len(miss):
+                new, first, which = np.unique(key[miss], return_index=True, return_inverse=True)
+                got = np.array([self.place(codes[i : i + n].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")) for i in (lo + at[miss[first]]).tolist()], np.int64)
+                place[miss] = got[which]
+                to, one = np.unique(slot[miss[first]], return_index=True)
+                self._keys[to], self._places[to] = new[one], got[one]
+            counts += np.bincount(text[lo + at] * (2 * self.dim) + place, minlength=len(counts))
+
+    def counts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Arrays (texts, dim, sign bit) of the counts, run by run, which cover the texts in order."""
+        if self._keys is None:
+            self._clear()
+        lo = 0
+        while lo < len(texts):
+            hi, chars = lo + 1, len(texts[lo])
+            while hi < len(texts) and hi - lo < self.RUN_TEXTS and chars + len(texts[hi]) <= self.RUN_CHARS:
+                chars += len(texts[hi])
+                hi += 1
+            codes = np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            size = np.array([len(t) for t in texts[lo:hi]], np.int64)
+            text = np.repeat(np.arange(hi - lo), size)
+            left = np.repeat(np.cumsum(size), size) - np.arange(chars)
+            out = np.zeros((hi - lo) * self.dim * 2, np.int64)
+            for a in range(0, chars, self.RUN_CHARS):
+                self._add(out, codes, text, left, a, min(a + self.RUN_CHARS, chars))
+            yield out.reshape(hi - lo, self.dim, 2)
+            lo = hi
+
+
+def md5_place(gram: bytes, dim: int) -> int:
+    number = int(hashlib.md5(gram).hexdigest()[:7], 16)
+    return (number >> 1) % dim * 2 + (number & 1)
+
+
 def hashed_md5(df: DataFrame, key: str, text: str, dim: int = 256, n: int = 3) -> DataFrame:
-    """(key, bucket, value): the same idea for ``n``-grams by md5, as a plan without Python; not normalised."""
-    t = F.concat(F.lit(" "), X.lower(F.col(text)), F.lit(" "))
-    grams = df.select(key, F.explode(F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))).alias("gram"))
-    number = F.conv(F.substring(F.md5(F.col("gram").cast("binary")), 1, 7), 16, 10).cast("bigint")
-    signed = grams.select(key, (F.shiftright(number, 1) % dim).alias("bucket"), F.when(number % 2 == 0, 1).otherwise(-1).alias("sign"))
-    out = signed.groupBy(key, "bucket").agg(F.sum("sign").alias("s"))
+    """(key, bucket, value): the same idea for ``n``-grams by md5; not normalised. Rows of one key count together.
+
+    Grams are counted in Arrow batches, and a gram that comes again is not hashed again.
+    """
+    grams = Grams((n,), dim, partial(md5_place, dim=dim))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in _runs(batch.column(1)):
+                part, at = batch.slice(lo, hi - lo), 0
+                for c in grams.counts(part.column(1).to_pylist()):
+                    row, bucket = np.nonzero(c.any(2))
+                    s = c[row, bucket, 0] - c[row, bucket, 1]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at + row)), pa.array(bucket), pa.array(s)], names=["key", "bucket", "s"])
+                    at += len(c)
+
+    texts = df.select(F.col(key).alias("key"), F.concat(F.lit(" "), X.lower(F.col(text)), F.lit(" ")).alias("text")).where("text is not null")
+    signed = texts.mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, bucket bigint, s bigint")
+    out = signed.groupBy(F.col("key").alias(key), "bucket").agg(F.sum("s").alias("s"))
     return out.select(key, "bucket", (F.signum(F.col("s").cast("double")) * F.log1p(F.abs("s").cast("double"))).alias("value"))
 
 

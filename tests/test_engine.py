@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bulaq import cli
+from bulaq.functions import text as X
 from bulaq.functions import vectors as V
 from bulaq.operators import embed, enrich, evaluate, remote, search, store
 from bulaq.plans import progress
@@ -445,3 +446,32 @@ def test_cli(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert "[general] d" in out
     assert "d::0000" in out and json.loads((tmp_path / "r.json").read_text())["aggregate"]["recall"] == 1.0
+
+
+def test_md5_grams_of_long_texts(spark):
+    """A text is walked once, however long it is: cutting every gram from its beginning took minutes for this one."""
+    import hashlib
+    import math
+    import time
+    from collections import Counter
+
+    def plain(texts):
+        t = [f" {X.az_lower(x)} " for x in texts if x is not None]
+        grams = Counter(x[i : i + 3] for x in t for i in range(len(x) - 2))
+        sums = {}
+        for g, n in grams.items():
+            h = int(hashlib.md5(g.encode()).hexdigest()[:7], 16)
+            sums[(h >> 1) % 256] = sums.get((h >> 1) % 256, 0) + (n if h % 2 == 0 else -n)
+        return {b: math.copysign(math.log1p(abs(s)), s) for b, s in sums.items()}
+
+    long = "".join(chr(97 + i * i % 23) + "əİI 😀"[i % 5] * (i % 3) for i in range(500_000))
+    rows = [(1, long), (2, ""), (3, None), (4, "ab"), (4, "b"), (None, "salam"), (5, "".join(map(chr, range(0x4E00, 0x4E00 + 9000))))]
+    began = time.time()
+    got = {}
+    for r in embed.hashed_md5(spark.createDataFrame(rows, "id bigint, t string"), "id", "t").collect():
+        got.setdefault(r["id"], {})[r["bucket"]] = r["value"]
+    assert time.time() - began < 60
+    assert set(got) == {1, 4, 5, None}
+    for key in got:
+        want = plain([t for i, t in rows if i == key])
+        assert got[key].keys() == want.keys() and all(abs(got[key][b] - want[b]) < 1e-9 for b in want)
