@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -37,79 +36,38 @@ class Embedder:
     def _column(self, c: Column, query: bool, batch_size: int | None = None) -> Column:
         me = self
 
-        @F.pandas_udf("array<double>")
-        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in parts:
-                texts = s.fillna("").tolist()
-                size = batch_size or max(1, len(texts))
-                out = [v for i in range(0, len(texts), size) for v in me.vectors(texts[i : i + size], query)]
-                yield pd.Series(out, index=s.index, dtype=object)
+        @F.arrow_udf("array<double>")
+        def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for part in parts:
+                if not len(part):
+                    yield pa.array([], pa.list_(pa.float64()))
+                for lo, hi in _runs(part):
+                    texts = pc.fill_null(part.slice(lo, hi - lo), "").to_pylist()
+                    size = batch_size or len(texts)
+                    for i in range(0, len(texts), size):
+                        yield _lists(me.vectors(texts[i : i + size], query))
 
         return run(c)
 
     def documents(self, c: Column, batch_size: int | None = None) -> Column:
-        """Vectors of texts; so many are handed to the model at once (all of an Arrow batch if not given)."""
+        """Vectors of texts; so many are handed to the model at once (if not given, as many as have RUN_BYTES together)."""
         return self._column(c, False, batch_size)
 
     def query(self, c: Column) -> Column:
         return self._column(c, True)
 
 
+def _lists(vectors: list) -> pa.Array:
+    sizes = np.array([len(v) for v in vectors], np.int64)
+    flat = np.concatenate([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))
+
+
 def unit(v: list[float]) -> list[float]:
     n = math.sqrt(sum(x * x for x in v))
     return [x / n for x in v] if n else v
 
 
-class Hashed(Embedder):
-    """Signed counts of hashed 3-, 4- and 5-grams of the lower-cased text between spaces, damped by log(1 + n)."""
-
-    def __init__(self, dim: int = 256):
-        self.dim, self.name, self._of = dim, f"hashed-{dim}", {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_of": {}}
-
-    def _place(self, gram: bytes) -> int:
-        """Bucket of a gram, with the sign in the lowest bit."""
-        d = hashlib.blake2b(gram, digest_size=8).digest()
-        return int.from_bytes(d[:4], "little") % self.dim * 2 + (d[4] & 1)
-
-    def vectors(self, texts: list[str], query: bool = False) -> list[list[float]]:
-        """All grams of the texts are counted as arrays; only distinct ones that are new to this worker are hashed."""
-        texts = [f" {X.az_lower(t)} " for t in texts]
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.array([len(t) for t in texts], np.int64)
-        end = np.cumsum(size)
-        text = np.repeat(np.arange(len(texts)), size)
-        total = np.zeros(len(texts) * self.dim)
-        if len(self._of) > 500_000:
-            self._of.clear()
-        left = end[text] - np.arange(len(codes))  # characters from here to the end of the text
-        for n in (3, 4, 5):
-            at = np.flatnonzero(left >= n)
-            if not len(at):
-                continue
-            # 21 bits a character: three in one word, the other ones in a second
-            low = codes[at].astype(np.uint64) | codes[at + 1].astype(np.uint64) << np.uint64(21) | codes[at + 2].astype(np.uint64) << np.uint64(42)
-            high = np.full(len(at), n, np.uint64) << np.uint64(50)
-            for i in range(3, n):
-                high |= codes[at + i].astype(np.uint64) << np.uint64(21 * (i - 3))
-            order = np.lexsort((low, high))
-            low, high = low[order], high[order]
-            first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
-            places = np.empty(len(first), np.int64)
-            for j, (key, i) in enumerate(zip(zip(low[first].tolist(), high[first].tolist()), at[order[first]].tolist())):
-                got = self._of.get(key)
-                if got is None:
-                    got = self._of[key] = self._place(codes[i : i + n].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"))
-                places[j] = got
-            place = np.repeat(places, np.diff(np.append(first, len(low))))
-            total += np.bincount(text[at[order]] * self.dim + (place >> 1), np.where(place & 1, 1.0, -1.0), len(total))
-        v = (np.sign(total) * np.log1p(np.abs(total))).reshape(len(texts), self.dim)
-        norm = np.sqrt((v * v).sum(1, keepdims=True))
-        return list(v / np.where(norm > 0, norm, 1.0))
-
-
 #: Bytes of text that are made Python strings at once, unless one text has more.
 RUN_BYTES = 4_000_000
 
@@ -206,6 +164,27 @@ class Grams:
             lo = hi
 
 
+def blake_place(gram: bytes, dim: int) -> int:
+    d = hashlib.blake2b(gram, digest_size=8).digest()
+    return int.from_bytes(d[:4], "little") % dim * 2 + (d[4] & 1)
+
+
+class Hashed(Embedder):
+    """Signed counts of hashed 3-, 4- and 5-grams of the lower-cased text between spaces, damped by log(1 + n)."""
+
+    def __init__(self, dim: int = 256):
+        self.dim, self.name, self._grams = dim, f"hashed-{dim}", Grams((3, 4, 5), dim, partial(blake_place, dim=dim))
+
+    def vectors(self, texts: list[str], query: bool = False) -> list[list[float]]:
+        out: list[list[float]] = []
+        for c in self._grams.counts([f" {X.az_lower(t)} " for t in texts]):
+            total = (c[:, :, 1] - c[:, :, 0]).astype(np.float64)
+            v = np.sign(total) * np.log1p(np.abs(total))
+            norm = np.sqrt((v * v).sum(1, keepdims=True))
+            out += list(v / np.where(norm > 0, norm, 1.0))
+        return out
+
+
 def md5_place(gram: bytes, dim: int) -> int:
     number = int(hashlib.md5(gram).hexdigest()[:7], 16)
     return (number >> 1) % dim * 2 + (number & 1)

@@ -475,3 +475,15 @@ def test_md5_grams_of_long_texts(spark):
     for key in got:
         want = plain([t for i, t in rows if i == key])
         assert got[key].keys() == want.keys() and all(abs(got[key][b] - want[b]) < 1e-9 for b in want)
+
+
+def test_hashed_embedder_holds_no_batch():
+    """Six million characters at once: arrays over all of them took more than 500 MB."""
+    import tracemalloc
+
+    texts = ["salam dünya, necəsən " * 50] * 6000 + ["uzun mətn " * 100_000]
+    tracemalloc.start()
+    v = embed.Hashed(64).vectors(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300e6 and len(v) == 6001 and all(abs(a - b) < 1e-12 for a, b in zip(v[0], embed.Hashed(64).vectors(texts[:1])[0]))
