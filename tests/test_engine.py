@@ -8,7 +8,7 @@ from bulaq import cli
 from bulaq.functions import text as X
 from bulaq.functions import vectors as V
 from bulaq.operators import embed, enrich, evaluate, remote, search, store
-from bulaq.plans import progress
+from bulaq.plans import progress, queries
 from bulaq.plans.engine import Engine
 from bulaq.plans.present import Presenter
 from bulaq.sources import export, load
@@ -487,3 +487,14 @@ def test_hashed_embedder_holds_no_batch():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 300e6 and len(v) == 6001 and all(abs(a - b) < 1e-12 for a, b in zip(v[0], embed.Hashed(64).vectors(texts[:1])[0]))
+
+
+def test_all_vectors_of_a_label_are_relevant(spark, tmp_path):
+    """A query's gold ids are all vectors of its label, far ones too: the nearest vector of query 0 is the last row."""
+    rows = [(i, [1.0, 0.0] if i in (0, 299) else [0.0, 1.0], (0 if i in (0, 299) else 1)) for i in range(300)] + [(350, [-1.0, 0.0], None)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["query_id"]: r for r in queries.retrieval_metrics(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 50, 100, 150, 200, 250}
+    assert (got[0]["rr"], got[0]["recall"], got[0]["ndcg"]) == (1.0, 1.0, 1.0)
+    assert (got[50]["rr"], got[50]["recall"], got[50]["ndcg"]) == (1.0, round(5 / 298, 6), 1.0)
+    assert {(r["domain"], r["mrr"], r["n"]) for r in queries.eval_grouping(spark, str(tmp_path)).collect()} == {("all", 1.0, 6), ("0", 1.0, 1), ("1", 1.0, 5)}
