@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,13 +79,24 @@ def to_latin(c: Column) -> Column:
     return F.translate(c, low + low.upper() + "ъьЪЬ", to + az_upper(to))
 
 
+#: Rows whose texts are Python strings at once; an Arrow batch has up to 10,000.
+RUN_ROWS = 64
+
+
+def composed(parts: Iterator[pa.Array], form: str) -> Iterator[pa.Array]:
+    """The texts of Arrow arrays in that form, RUN_ROWS at most in each array."""
+    for part in parts:
+        for lo in range(0, max(1, len(part)), RUN_ROWS):
+            yield pa.array([None if t is None else unicodedata.normalize(form, t) for t in part.slice(lo, RUN_ROWS).to_pylist()], pa.string())
+        del part
+
+
 def compose(c: Column, form: str = "NFC") -> Column:
-    """Unicode normal form, for which Spark has no built-in function."""
+    """Unicode normal form, for which Spark has no built-in function. A few texts at a time become Python strings."""
 
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+    @F.arrow_udf("string")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from composed(parts, form)
 
     return run(c)
 

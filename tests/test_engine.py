@@ -498,3 +498,20 @@ def test_all_vectors_of_a_label_are_relevant(spark, tmp_path):
     assert (got[0]["rr"], got[0]["recall"], got[0]["ndcg"]) == (1.0, 1.0, 1.0)
     assert (got[50]["rr"], got[50]["recall"], got[50]["ndcg"]) == (1.0, round(5 / 298, 6), 1.0)
     assert {(r["domain"], r["mrr"], r["n"]) for r in queries.eval_grouping(spark, str(tmp_path)).collect()} == {("all", 1.0, 6), ("0", 1.0, 1), ("1", 1.0, 5)}
+
+
+def test_compose_holds_few_texts():
+    """A batch of 40 MB is composed a few texts at a time: the Python strings of all of them took more than its own size."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.array(["é" * 10_000, None, ""] * 700)
+    tracemalloc.start()
+    n = 0
+    for piece in X.composed(iter([batch, batch.slice(0, 0)]), "NFC"):
+        assert len(piece) <= X.RUN_ROWS and set(piece.to_pylist()) <= {"é" * 10_000, None, ""}
+        n += len(piece)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(batch) and most < 10e6
