@@ -70,13 +70,14 @@ def contains_cyrillic(c: Column) -> Column:
 
 
 def to_latin(c: Column) -> Column:
-    """Cyrillic letters to Latin ones; a letter of two is all upper case where the next one is upper case."""
+    """Cyrillic letters to Latin ones; a letter of two is all upper case where the next one is upper case. Other texts pass as they are."""
+    given = c
     for low, to in _MULTI.items():
         up = az_upper(low)
         c = F.regexp_replace(c, f"{up}(?=\\p{{Lu}})", az_upper(to))
         c = F.replace(F.replace(c, F.lit(up), F.lit(az_upper(to[0]) + to[1:])), F.lit(low), F.lit(to))
     low, to = "".join(_SINGLE), "".join(_SINGLE.values())
-    return F.translate(c, low + low.upper() + "ъьЪЬ", to + az_upper(to))
+    return F.when(contains_cyrillic(given), F.translate(c, low + low.upper() + "ъьЪЬ", to + az_upper(to))).otherwise(given)
 
 
 #: Rows whose texts are Python strings at once; an Arrow batch has up to 10,000.
